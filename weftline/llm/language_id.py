@@ -43,32 +43,26 @@ def _score(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     return np.floor(1000 * np.log((count + 1) / (total + kinds)[None, :]) + 0.5).astype(np.int64)
 
 
+def _table(counts: pd.DataFrame, key: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys of (lang, key, n) rows, and their scores in each language."""
+    code, keys = pd.factorize(counts[key], sort=True)
+    table = np.zeros((len(keys), len(langs)), np.int64)
+    table[code, pd.Index(langs).get_indexer(counts["lang"])] = counts["n"].to_numpy(np.int64)
+    return list(keys), _score(table, table.sum(axis=0), len(keys)) if len(keys) else table
+
+
 class Model:
     """Log frequencies of words and of n-grams in each language."""
 
-    def __init__(self, counts: pd.DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST):
-        """``counts`` has (lang, word, n)."""
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(self, words: pd.DataFrame, grams: pd.DataFrame, longest: int = LONGEST):
+        """``words`` has (lang, word, n) of the known words, ``grams`` (lang, g, gram, n) of all training words."""
+        self.langs = sorted(set(grams["lang"]) | set(words["lang"]))
         self.longest = longest
-        at = {x: i for i, x in enumerate(self.langs)}
-        words, code = np.unique(counts["word"].to_numpy(object), return_inverse=True) if len(counts) else (np.array([], object), np.array([], np.int64))
-        table = np.zeros((len(words), len(self.langs)), np.int64)
-        np.add.at(table, (code, counts["lang"].map(at).to_numpy(np.int64)), counts["n"].to_numpy(np.int64))
-        often = table.sum(axis=1) >= min_count
-        self.words = pa.array(words[often].tolist(), pa.string())
-        self.word_scores = _score(table[often], table[often].sum(axis=0), int(often.sum()))
+        keys, self.word_scores = _table(words, "word", self.langs)
+        self.words = pa.array(keys, pa.string())
         self.grams: list[dict[str, np.ndarray]] = []
-        for n in range(1, longest + 1):
-            gram_of, row_of = [], []
-            for i, w in enumerate(words):
-                padded = f"_{w}_"
-                own = [padded[j : j + n] for j in range(len(padded) - n + 1)]
-                gram_of += own
-                row_of += [i] * len(own)
-            grams, code = np.unique(np.array(gram_of, object), return_inverse=True) if gram_of else (np.array([], object), np.array([], np.int64))
-            sums = np.stack([np.bincount(code, weights=table[row_of, k], minlength=len(grams)) for k in range(len(self.langs))], axis=1) if len(grams) else np.zeros((0, len(self.langs)))
-            scores = _score(sums, sums.sum(axis=0), len(grams)) if len(grams) else sums.astype(np.int64)
-            self.grams.append(dict(zip(grams.tolist(), scores)))
+        for g in range(1, longest + 1):
+            self.grams.append(dict(zip(*_table(grams[grams["g"] == g], "gram", self.langs))))
 
     def unseen(self, word: str) -> tuple[np.ndarray, int]:
         """(scores, length of the n-grams that gave them) of a word that isn't known; length 0 if none is."""
@@ -86,10 +80,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
     chosen, path = materialise(named.select("lang", "id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_docs).select("lang", "id").distinct(), "train-ids")
-    words = named.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
-    drop_path(docs.sparkSession, path)
-    return Model(counts, min_count, longest)
+    found = named.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    counts, counts_path = materialise(found.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+    known = counts.join(counts.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_count).select("word"), "word", "left_semi")
+    padded = counts.select("lang", "n", F.concat(F.lit("_"), "word", F.lit("_")).alias("p"))
+    grams = (
+        padded.select("lang", "n", "p", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("g"))
+        .filter(F.length("p") >= F.col("g"))
+        .select("lang", "n", "g", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - F.col("g") + 1), lambda i: F.substring(F.col("p"), i, F.col("g")))).alias("gram"))
+        .groupBy("lang", "g", "gram")
+        .agg(F.sum("n").alias("n"))
+    )
+    model = Model(known.select("lang", "word", "n").toPandas(), grams.toPandas(), longest)
+    drop_path(docs.sparkSession, path, counts_path)
+    return model
 
 
 def _classify(model: Model):
