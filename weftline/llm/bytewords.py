@@ -97,8 +97,10 @@ def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
             out = mix(out + h[j : n - width + 1 + j] + _C1)
     else:  # polynomial in an odd base, so that it can be divided by a power of the base
         base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-        up = np.cumprod(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full(n - 1, inverse, np.uint64)]).astype(np.uint64))
+        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
         out = mix((total[width:] - total[:-width]) * down[: n - width + 1])
     row_end = np.repeat(first[1:], np.diff(first))
