@@ -1 +1 @@
-"""See the modules of this package."""
+"""Plans made of operators: the primitives and the registered queries."""
