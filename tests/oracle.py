@@ -8,6 +8,7 @@ import os
 import duckdb
 import pandas as pd
 
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -21,7 +22,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(x):
-    if x is None or (isinstance(x, float) and x != x) or x is pd.NaT:
+    if x is None or (isinstance(x, float) and x != x) or x is pd.NaT or x is pd.NA:
         return None
     if isinstance(x, decimal.Decimal):
         x = float(x)
