@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -213,6 +215,7 @@ def _encode(vocabulary: Vocabulary, pattern: str, check: bool):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, token_ids, n_tokens) for every row."""
+    bw.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_encode(Vocabulary(vocabulary), pattern, False), f"id {dict(rows.dtypes)['id']}, tokens array<int>, n bigint")
     return out.toDF("doc_id", "token_ids", "n_tokens")
@@ -220,6 +223,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) for every row of token lists."""
+    bw.bound_batches(encoded.sparkSession)
     words = Vocabulary(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +244,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "token_
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, token_ids, n_tokens, decodes) for every row: encoded, decoded again, and compared with the text."""
+    bw.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_encode(Vocabulary(vocabulary), pattern, True), f"id {dict(rows.dtypes)['id']}, tokens array<int>, n bigint, same boolean")
     return out.toDF("doc_id", "token_ids", "n_tokens", "decodes")

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = "8m"
 
 #: Bytes that belong to words where only white space separates.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -25,6 +27,13 @@ _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF],
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the session does: the usual bound is on rows, and documents can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers with every output bit depending on every input bit."""
     x = (x ^ (x >> np.uint64(30))) * _C2

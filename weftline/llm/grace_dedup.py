@@ -148,6 +148,7 @@ def _partitioned(moved: DataFrame, h: str, id_col: str, text_col: str, others: l
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, keep_id, is_duplicate) for every row: the row kept of those with its content, and whether this is another."""
+    bw.bound_batches(docs.sparkSession)
     hashed, h, keys = _split(docs, id_col, text_col, broadcast_keys)
     alone = hashed.filter(F.col(text_col).isNull())
     moved = hashed.filter(F.col(text_col).isNotNull())
@@ -161,6 +162,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with one row of each content; its columns as they are."""
+    bw.bound_batches(docs.sparkSession)
     hashed, h, keys = _split(docs, id_col, text_col, broadcast_keys)
     alone = hashed.filter(F.col(text_col).isNull())
     moved = hashed.filter(F.col(text_col).isNotNull())

@@ -30,7 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.storage import drop_path, fresh, materialise
+from weftline.storage import drop_path, materialise
+
+from . import bytewords as bw
 
 TRAIN_DOCS, MIN_COUNT, LONGEST, MIN_MARGIN = 2000, 2, 4, 30
 FOREIGN_BELOW = 3
@@ -168,6 +170,7 @@ def _accepted(min_margin: int) -> F.Column:
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: int = MIN_MARGIN) -> DataFrame:
     """(doc_id, pred_lang, score, margin, n_words, accepted) for every row; fitted on ``docs`` unless a model is given."""
+    bw.bound_batches(docs.sparkSession)
     model = model or train(docs, id_col, text_col, lang_col)
     judged = _judged(docs, model, text_col, {"id": id_col})
     return judged.select(F.col("id").alias("doc_id"), F.col("pred").alias("pred_lang"), "score", "margin", F.col("words").alias("n_words"), _accepted(min_margin).alias("accepted"))
@@ -175,6 +178,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 def accepted_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: int = MIN_MARGIN) -> DataFrame:
     """``docs`` without those whose language is not recognised; its columns as they are."""
+    bw.bound_batches(docs.sparkSession)
     model = model or train(docs, id_col, text_col, lang_col)
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     kept = _judged(docs, model, text_col, names).filter(_accepted(min_margin)).select(*names)

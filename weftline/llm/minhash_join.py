@@ -214,6 +214,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one's is paired with the first of these alone (all its ``coords`` coordinates match), so that n equal
     documents give n - 1 rows. A document's other pairs are those of the document that it equals.
     """
+    bw.bound_batches(docs.sparkSession)
     named = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col)).alias("text"))
     signed = named.mapInArrow(_signatures(coords, shingle), "id bigint, sig binary")
     same = Window.partitionBy("sig")

@@ -155,6 +155,7 @@ def _score(model: OrdinalModel | None):
 
 def severity(docs: DataFrame, labels: DataFrame, model: OrdinalModel | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade, is_toxic) for every row; ``grade`` is the median grade."""
+    bw.bound_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col)).alias("text"))
     return rows.mapInArrow(_score(model), "id bigint, severity double, p double, grade int, toxic boolean").toDF("doc_id", "expected_severity", "p_toxic", "grade", "is_toxic")

@@ -190,6 +190,7 @@ def _score(model: QualityModel | None):
 
 def quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, quality_score, keep) for every row."""
+    bw.bound_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), "id bigint, p double, keep boolean").toDF("doc_id", "quality_score", "keep")

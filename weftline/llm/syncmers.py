@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, positions, anchors) for every row: the first words of its closed syncmers, and their hashes."""
     if not 0 < s < k or k <= 4:
         raise ValueError("k must be over 4 and s from 1 to k - 1")
+    bw.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     return rows.mapInArrow(_sketch(k, s), f"id {dict(rows.dtypes)['id']}, n bigint, positions array<int>, anchors array<bigint>").toDF("doc_id", "n_words", "positions", "anchors")
 
