@@ -2,8 +2,8 @@
 
 A text is split by the vocabulary's pattern. Of a partition's distinct words (bounded slices at a time) the
 bytes become token-position rows; a recursive query joins neighbours to the merge table and contracts each
-word's leftmost pair of minimum rank until no pair of any word is in the table. Words met before in the
-partition are not encoded again. Decoding joins token rows to the vocabulary and aggregates the bytes in
+word's leftmost pair of minimum rank until no pair of any word is in the table. Words that the worker has met
+before, up to ``CACHE_WORDS`` of them, are not encoded again. Decoding joins token rows to the vocabulary and aggregates the bytes in
 order.
 
 Words over ``LONG`` bytes go through a second form of the query, which contracts in one step all the pairs
@@ -21,6 +21,7 @@ vocabulary are an error; null token lists decode to null.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from . import bytewords as bw
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE_BYTES, WORDS, LONG, CACHE_WORDS = 4 << 20, 20_000, 200, 1_000_000
+SLICE_BYTES, WORDS, LONG, CACHE_WORDS = 4 << 20, 20_000, 200, 600_000
 MEMORY = "600MB"
 
 _SHORT_SQL = """
@@ -102,6 +103,19 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
+class Known(dict):
+    """Numbers of words; a word that isn't known gets the next one and is listed as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Coder:
     """Encodes and decodes in this process."""
 
@@ -121,7 +135,7 @@ class Coder:
         self.con.unregister("incoming")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
@@ -134,30 +148,36 @@ class Coder:
         word = found["k"].to_numpy() >> 32
         return found["tok"].to_numpy().astype(np.int32), np.bincount(word, minlength=len(words))
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet."""
-        raw = [w.encode() for w in words]
-        for group, sql, step in (([i for i, b in enumerate(raw) if len(b) <= LONG], _SHORT_SQL, WORDS), ([i for i, b in enumerate(raw) if len(b) > LONG], _LONG_SQL, 64)):
+    def _learn(self) -> None:
+        """Encode the words that are new."""
+        raw = [w.encode() for w in self.known.new]
+        self.known.new = []
+        begin, size = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        length = np.array([len(b) for b in raw], np.int64)
+        parts, at = [self.flat], len(self.flat)
+        for group, sql, step in ((np.flatnonzero(length <= LONG), _SHORT_SQL, WORDS), (np.flatnonzero(length > LONG), _LONG_SQL, 64)):
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
-                tokens, size = self._contract([raw[i] for i in part], sql)
-                for n, i in enumerate(part, len(self.size)):
-                    self.known[words[i]] = n
-                self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-                self.size = np.concatenate([self.size, size])
-                self.flat = np.concatenate([self.flat, tokens])
+                tokens, own = self._contract([raw[i] for i in part.tolist()], sql)
+                begin[part], size[part] = at + np.cumsum(own) - own, own
+                parts.append(tokens)
+                at += len(tokens)
+        self.begin, self.size, self.flat = np.concatenate([self.begin, begin]), np.concatenate([self.size, size]), np.concatenate(parts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts, their number in each)."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        split = [self.pattern.findall(t) if t else [] for t in texts]
-        count = np.array([len(x) for x in split], np.int64)
-        words = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
-        del split
-        distinct = words.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.known])
-        number = np.array([self.known[w] for w in distinct], np.int64)[words.indices.to_numpy()]
+        number_of, split = self.known.__getitem__, self.pattern.findall
+        numbers: list[int] = []
+        count = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                numbers.extend(map(number_of, split(text)))
+            count[i] = len(numbers)
+        count = np.diff(count, prepend=0)
+        self._learn()
+        number = np.array(numbers, np.int64)
         size = self.size[number]
         before = np.concatenate([[0], np.cumsum(size)])
         ends = before[np.cumsum(count)] if len(count) else count
@@ -194,11 +214,21 @@ def _lists(tokens: np.ndarray, size: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int32()))
 
 
+def _coder(vocabulary: Vocabulary, pattern: str) -> Coder:
+    """This process's coder: the partitions that a worker handles share the words that it knows."""
+    held = sys.__dict__.setdefault("_weftline_coders", {})
+    key = (hash(vocabulary.merged.tobytes()), hash(vocabulary.pairs.tobytes()), pattern)
+    if key not in held:
+        held.clear()
+        held[key] = Coder(vocabulary, pattern)
+    return held[key]
+
+
 def _encode(vocabulary: Vocabulary, pattern: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or Coder(vocabulary, pattern)
+            coder = coder or _coder(vocabulary, pattern)
             for lo, hi in _slices(batch.column(1), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 null = np.asarray(part.column(1).is_null())
