@@ -104,12 +104,21 @@ def hourly_links(rows: DataFrame, id_col: str = "entity_id", seconds: str = "ts"
     return a.join(b, ["hour", "k"]).select("from_id", "to_id", F.lit("temporal").alias("edge_type"), F.lit(strength).alias("weight"))
 
 
+def _numbered(node_ids: DataFrame, buckets: int = 64) -> DataFrame:
+    """(id, k): nodes numbered from 0, in buckets and on top of the sizes of the buckets before."""
+    ids = node_ids.select(F.col("entity_id").alias("id"), F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).alias("bucket"))
+    sizes = ids.groupBy("bucket").count()
+    before = sizes.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))  # a row a bucket
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
+    return ids.withColumn("own", own).join(before, "bucket").select("id", (F.col("own") + F.col("before")).alias("k"))
+
+
 def densify(node_ids: DataFrame, edges: DataFrame, wanted: int, seed: int = 7) -> DataFrame:
     """``wanted`` new edges, drawn by hash, between nodes that no edge joins yet; the same for the same seed."""
     n = node_ids.count()
     if n < 2 or wanted <= 0:
         return edges.select("from_id", "to_id").limit(0)
-    numbered = node_ids.select(F.col("entity_id").alias("id"), (F.row_number().over(Window.orderBy("entity_id")) - 1).alias("k"))
+    numbered = _numbered(node_ids)
     # a pair that is drawn twice or joined already is lost, so draw more than wanted and keep the first
     draws = node_ids.sparkSession.range(wanted * 3 + 16).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n)).alias("j")).filter("i <> j")
     a, b = numbered.select(F.col("k").alias("i"), F.col("id").alias("from_id")), numbered.select(F.col("k").alias("j"), F.col("id").alias("to_id"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RING = 10_000
+SALTS = 64
+BUCKET_S, BUCKET_ROWS = 86_400, 1 << 20
 #: Added before rounding, so that a mean that ends in 5 is rounded up whatever the order of its sum.
 TIE = 1e-9
 P99_MS, LEAST_QPS, MEMORY_MB = 100.0, 100.0, 1000.0
@@ -18,10 +20,15 @@ def _percentiles(value: str, shares: dict[str, float]) -> list[Column]:
 
 
 def latency(ops: DataFrame, key: str = "op", value: str = "latency_ms", last: int | None = RING, order: str = "seq") -> DataFrame:
-    """Percentiles of each operation, over its ``last`` samples."""
+    """Percentiles of each operation, over its ``last`` samples.
+
+    There are few operations and many samples: the last of each of SALTS parts come first, then the last of these.
+    """
     if last is not None:
-        k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-        ops = ops.withColumn("k", k).filter(F.col("k") <= last)
+        ops = ops.select(key, value, order, F.pmod(F.xxhash64(order), F.lit(SALTS)).alias("salt"))
+        for keys in ([key, "salt"], [key]):
+            k = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+            ops = ops.withColumn("k", k).filter(F.col("k") <= last)
     return ops.groupBy(key).agg(F.count("*").alias("samples"), F.round(F.avg(value), 6).alias("mean_ms"), *_percentiles(value, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}))
 
 
@@ -32,9 +39,18 @@ def rolling_latency(ops: DataFrame, rows: int = 100, key: str = "op", value: str
 
 
 def throughput(ops: DataFrame, seconds: int = 60, key: str = "op", ts: str = "ts", order: str = "seq") -> DataFrame:
-    """Operations a second in the ``seconds`` up to each operation."""
-    frame = Window.partitionBy(key).orderBy(F.col("s")).rangeBetween(-seconds, 0)
-    return ops.withColumn("s", F.unix_timestamp(ts)).select(order, key, F.round(F.count("*").over(frame) / float(seconds), 6).alias("per_second"))
+    """Operations a second in the ``seconds`` up to each operation.
+
+    A day of an operation is one task's work; rows near its end are lent to the next day.
+    """
+    bucket_s = max(BUCKET_S, seconds)
+    timed = ops.select(order, key, F.unix_timestamp(ts).alias("s"))
+    own = F.floor(F.col("s") / bucket_s)
+    lent = F.when((F.col("s") + seconds) >= (own + 1) * bucket_s, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = timed.withColumn("own", own).withColumn("bucket", F.explode(lent))
+    frame = Window.partitionBy(key, "bucket").orderBy("s").rangeBetween(-seconds, 0)
+    counted = spread.withColumn("n", F.count("*").over(frame)).filter("bucket = own")
+    return counted.select(order, key, F.round(F.col("n") / float(seconds), 6).alias("per_second"))
 
 
 def memory_peaks(deltas: DataFrame, key: str = "agent_id", delta: str = "delta", order: str = "seq") -> DataFrame:
@@ -167,8 +183,14 @@ def agent_sessions(ops: DataFrame, now: Column, active_s: int = 300) -> DataFram
 
 
 def running_mean(ops: DataFrame, key: str = "op", value: str = "latency_ms", order: str = "seq") -> DataFrame:
-    frame = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return ops.select(order, key, F.round(F.avg(value).over(frame) + TIE, 6).alias("mean_ms"))
+    """Mean of all samples so far, at every sample: running sums within buckets of the order, on top of the buckets before."""
+    rows = ops.select(order, key, value, F.floor(F.col(order) / BUCKET_ROWS).alias("bucket"))
+    totals = rows.groupBy(key, "bucket").agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(key, "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("total"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
+    within = Window.partitionBy(key, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select(order, key, "bucket", F.sum(value).over(within).alias("s"), F.count(value).over(within).alias("c"))
+    return own.join(before, [key, "bucket"]).select(order, key, F.round((F.col("s") + F.col("total")) / (F.col("c") + F.col("n")) + TIE, 6).alias("mean_ms"))
 
 
 def describe(ops: DataFrame, key: str = "op", value: str = "latency_ms") -> DataFrame:

@@ -50,6 +50,11 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete everything that this application wrote in the shared folder: at its end."""
+    drop_path(spark, shared_dir(spark))
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that clash with none of ``df``'s, whatever their case."""
     taken = {c.lower() for c in df.columns}
