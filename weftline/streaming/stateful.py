@@ -61,8 +61,11 @@ def decided(events: DataFrame, step: Step, key: str = "key", at_ms: str = "at_ms
     return rows.repartition("key").sortWithinPartitions("key", "at_ms", "seq").mapInPandas(fold, "key string, seq bigint, at_ms bigint, allowed boolean")
 
 
-def decided_stream(events: DataFrame, step: Step, idle_ms: int, key: str = "key", at_ms: str = "at_ms", order: str = "seq") -> DataFrame:
-    """The same over a stream. A key's state goes when it has been idle for ``idle_ms``."""
+def decided_stream(events: DataFrame, step: Step, idle_ms: int | None = None, key: str = "key", at_ms: str = "at_ms", order: str = "seq") -> DataFrame:
+    """The same over a stream. A key's state goes when it has been idle for ``idle_ms``.
+
+    With that bound the stream wakes up to let states go, also without data: it must not be run until all is read.
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -75,8 +78,9 @@ def decided_stream(events: DataFrame, step: Step, idle_ms: int, key: str = "key"
             now, ok = step(now, int(at))
             allowed.append(ok)
         state.update(tuple(int(x) for x in now))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": k[0], "seq": rows["seq"], "at_ms": rows["at_ms"], "allowed": allowed})
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("seq"), F.col(at_ms).cast("bigint").alias("at_ms"))
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, seq bigint, at_ms bigint, allowed boolean", "a bigint, b bigint, c bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(update, "key string, seq bigint, at_ms bigint, allowed boolean", "a bigint, b bigint, c bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
