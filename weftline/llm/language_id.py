@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -45,26 +44,29 @@ def _score(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     return np.floor(1000 * np.log((count + 1) / (total + kinds)[None, :]) + 0.5).astype(np.int64)
 
 
-def _table(counts: pd.DataFrame, key: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
+def _table(counts: pa.Table, key: str, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
     """The keys of (lang, key, n) rows, and their scores in each language."""
-    code, keys = pd.factorize(counts[key], sort=True)
-    table = np.zeros((len(keys), len(langs)), np.int64)
-    table[code, pd.Index(langs).get_indexer(counts["lang"])] = counts["n"].to_numpy(np.int64)
-    return list(keys), _score(table, table.sum(axis=0), len(keys)) if len(keys) else table
+    if not counts.num_rows:
+        return pa.array([], pa.string()), np.zeros((0, len(langs)), np.int64)
+    keys = counts[key].combine_chunks().dictionary_encode()
+    lang = pc.index_in(counts["lang"], value_set=pa.array(langs, pa.string()))
+    table = np.zeros((len(keys.dictionary), len(langs)), np.int64)
+    table[keys.indices.to_numpy(), lang.to_numpy()] = counts["n"].to_numpy()
+    return keys.dictionary, _score(table, table.sum(axis=0), len(table))
 
 
 class Model:
     """Log frequencies of words and of n-grams in each language."""
 
-    def __init__(self, words: pd.DataFrame, grams: pd.DataFrame, longest: int = LONGEST):
+    def __init__(self, words: pa.Table, grams: pa.Table, longest: int = LONGEST):
         """``words`` has (lang, word, n) of the known words, ``grams`` (lang, g, gram, n) of all training words."""
-        self.langs = sorted(set(grams["lang"]) | set(words["lang"]))
+        self.langs = sorted({*pc.unique(grams["lang"]).to_pylist(), *pc.unique(words["lang"]).to_pylist()})
         self.longest = longest
-        keys, self.word_scores = _table(words, "word", self.langs)
-        self.words = pa.array(keys, pa.string())
+        self.words, self.word_scores = _table(words, "word", self.langs)
         self.grams: list[dict[str, np.ndarray]] = []
         for g in range(1, longest + 1):
-            self.grams.append(dict(zip(*_table(grams[grams["g"] == g], "gram", self.langs))))
+            keys, scores = _table(grams.filter(pc.equal(grams["g"], g)), "gram", self.langs)
+            self.grams.append(dict(zip(keys.to_pylist(), scores)))
 
     def unseen(self, word: str) -> tuple[np.ndarray, int]:
         """(scores, length of the n-grams that gave them) of a word that isn't known; length 0 if none is."""
@@ -93,7 +95,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .groupBy("lang", "g", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    model = Model(known.select("lang", "word", "n").toPandas(), grams.toPandas(), longest)
+    model = Model(known.select("lang", "word", "n").toArrow(), grams.toArrow(), longest)
     drop_path(docs.sparkSession, path, counts_path)
     return model
 
