@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 PIECE_BYTES = 1 << 20
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 #: Bytes that belong to words where only white space separates.
 NOT_SPACE = np.ones(256, dtype=bool)

@@ -36,7 +36,7 @@ from . import bytewords as bw
 TRAIN_DOCS, MIN_COUNT, LONGEST, MIN_MARGIN = 2000, 2, 4, 30
 FOREIGN_BELOW = 3
 WORD = r"\p{L}+"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def _score(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
