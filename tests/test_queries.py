@@ -1,5 +1,8 @@
 """Every registered query of the library proper against its SQL, or against a plain version of it."""
 
+import heapq
+import math
+
 import oracle
 import pytest
 from oracle import MIDDLE, SMALL
@@ -45,6 +48,33 @@ def test_generated_edges(spark):
     assert e.filter("from_id = to_id").isEmpty() and e.distinct().count() == e.count() > 0
 
 
+def dijkstra(rows, source):
+    links, best, heap = {}, {source: 0.0}, [(0.0, source)]
+    for r in rows:
+        links.setdefault(r["src"], []).append((r["dst"], float(r["weight"])))
+    while heap:
+        dist, node = heapq.heappop(heap)
+        if dist == best[node]:
+            for other, weight in links.get(node, ()):
+                if dist + weight < best.get(other, math.inf):
+                    best[other] = dist + weight
+                    heapq.heappush(heap, (dist + weight, other))
+    return links, best
+
+
+@pytest.mark.parametrize(("name", "targets"), [("shortest_path_unbounded", {15}), ("multi_target_unbounded", set(range(1, 201)))])
+def test_unbounded_paths_are_dijkstras(spark, name, targets):
+    links, best = dijkstra(retrieval._edges(spark, MIDDLE).collect(), retrieval.SEED)
+    want = {n: d for n, d in best.items() if n in targets}
+    assert max(want.values()) > retrieval.BOUND
+    rows = registry.QUERIES[name](spark, MIDDLE).collect()
+    assert len(rows) == len(want) and {r["target"]: r["dist"] for r in rows} == want
+    for r in rows:
+        path = [int(n) for n in r["path"].split(">")]
+        assert path[0] == retrieval.SEED and path[-1] == r["target"]
+        assert sum(min(w for n, w in links[a] if n == b) for a, b in zip(path, path[1:])) == r["dist"]
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 

@@ -258,6 +258,18 @@ def multi_target(spark, d):
     return _path_text(graph.multi_target(_edges(spark, d), SEED, spark.range(1, 201).withColumnRenamed("id", "node"), BOUND))
 
 
+@query()
+def shortest_path_unbounded(spark, d):
+    """``shortest_path`` however far the target is. Recursive SQL would list every walk."""
+    return _path_text(graph.shortest_path(_edges(spark, d), SEED, 15))
+
+
+@query()
+def multi_target_unbounded(spark, d):
+    """``multi_target`` however far the targets are."""
+    return _path_text(graph.multi_target(_edges(spark, d), SEED, spark.range(1, 201).withColumnRenamed("id", "node")))
+
+
 @query(f"WITH {_HOPS.format(edges=EDGES_SQL, seed=SEED, most=2)} SELECT node, distance FROM hops WHERE node <= 500")
 def reachability(spark, d):
     return graph.reachable(_edges(spark, d), _node(spark, SEED), spark.range(1, 501).withColumnRenamed("id", "node"), 2)
