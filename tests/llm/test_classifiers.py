@@ -71,6 +71,24 @@ def test_prior_and_risk():
     assert (ascend[0] > 0).all() and (ascend[1] < 0).all()
 
 
+def test_quality_uses_all_unlabelled_documents(make, spark, monkeypatch):
+    """Bins, prior and risk rest on every document without a label, not on a number of them."""
+    rows = [(i, " ".join(["plain words here"] * (1 + i % 7))) for i in range(13_000)]
+    seen = {}
+    monkeypatch.setattr(pu, "_fit", lambda edges, p, u, epochs: seen.update(p=len(p), u=len(u), bins=np.array(u[:, 5])) or pu.QualityModel(edges, np.zeros(edges.shape[0] * pu.BINS), 0.0, 0.5))
+    pu.train(make(rows).repartition(4), spark.createDataFrame([(i, 1, 0) for i in range(50)], LABELS))
+    assert seen["p"] == 50 and seen["u"] == 12_950
+    assert sorted(np.unique(seen["bins"], return_counts=True)[1]) == sorted(np.bincount([i % 7 for i in range(50, 13_000)]))
+
+
+def test_bin_edges_are_quantiles(spark):
+    x = np.random.default_rng(2).lognormal(size=(3000, pu.N_FEATURES))
+    x[::3, 4] = 0
+    rows = spark.createDataFrame([(r.tobytes(),) for r in x], "x binary").repartition(3)
+    want = np.quantile(x, np.linspace(0, 1, pu.BINS + 1)[1:-1], axis=0).T
+    assert np.allclose(pu.bin_edges(rows), want, rtol=0.01)
+
+
 @pytest.mark.parametrize("operator", ["toxicity", "quality"])
 def test_edges(spark, edges, nothing, operator):
     run = ot.severity if operator == "toxicity" else pu.quality

@@ -3,12 +3,15 @@
 Trusted positives are documents labelled good; all documents without a label are unlabelled text. The
 classifier g minimises  prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])  with the sigmoid loss;
 while the second term of a mini-batch is negative, its gradient is ascended instead. The class prior is
-estimated on held-out halves: of the ratios of the share of unlabelled to the share of positive documents
+estimated on held-out halves, each in turn, and averaged: of the ratios of the share of unlabelled to the share of positive documents
 above a score, the one with the least upper confidence bound.
 
 Features are shares and ratios of a text (letters, capitals, digits, marks, white space, word and line
-lengths, distinct words and lines, the most frequent word), each in one of 16 quantile bins. The fit uses at most
-``n_positive`` and ``n_unlabelled`` documents, those with the least MD5 of their identifier.
+lengths, distinct words and lines, the most frequent word), each in one of 16 quantile bins. They are computed once,
+written and read again. Of positives the fit uses at most ``n_positive``, those with the least MD5 of their
+identifier; bin edges, prior and risk rest on all unlabelled documents. Edges come from counts of values to 12
+significant bits. The driver holds the bins of unlabelled documents, 13 bytes each, in a mapped file: they come in
+blocks, in the order of a hash of their identifier, and mini-batches are blocks of neighbours.
 
 Nulls and corner cases. A null or empty text gets the features of an empty text. Null labels count as no
 label. Rows whose identifier is null teach nothing and are scored. Without positives, or without unlabelled
@@ -18,6 +21,7 @@ table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import materialise
+
 from . import bytewords as bw
 from .sampling import least_by_md5
 
-N_POSITIVE, N_UNLABELLED, BINS = 6000, 12000, 16
+N_POSITIVE, BINS = 6000, 16
 EPOCHS, BATCH, RATE, L2 = 40, 512, 0.02, 1e-4
 N_FEATURES = 13
+#: Rows of a block of bins or scores.
+BLOCK = 1 << 14
 
 _KIND = np.full(256, 3, np.int8)  # letter 0, capital 1, digit 2, mark 3, white space 4
 _KIND[97:123], _KIND[128:256], _KIND[65:91], _KIND[48:58] = 0, 0, 1, 2
@@ -79,10 +87,15 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = text_features(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows x features of packed rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, N_FEATURES)
 
 
 @dataclass
@@ -105,18 +118,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _minimise(p: np.ndarray, u: np.ndarray, size: int, gradient, epochs: int) -> tuple[np.ndarray, float]:
-    """Adam over mini-batches of both; ``gradient`` gives d risk / d score of a batch's positives and unlabelled."""
+    """Adam over mini-batches of both; ``gradient`` gives d risk / d score of a batch's positives and unlabelled.
+
+    Every epoch takes all unlabelled rows, in blocks of neighbours, and all positives, again and again if they are few.
+    """
     rng = np.random.default_rng(0)
     params, m, v, step = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), 0
+    rounds = max(1, len(u) // BATCH)
+    cuts = np.linspace(0, len(u), rounds + 1).astype(np.int64)
+    some = max(-(-len(p) // rounds), min(len(p), BATCH // 2))
+    order_p = np.zeros(0, np.int64)
     for _ in range(epochs):
-        order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
-        rounds = max(1, len(u) // BATCH)
-        for a, b in zip(np.array_split(order_p, rounds), np.array_split(order_u, rounds)):
-            if not len(a) or not len(b):
-                continue
-            zp, zu = (params[:-1][x].sum(axis=1) + params[-1] for x in (p[a], u[b]))
+        for k in rng.permutation(rounds):
+            if len(order_p) < some:
+                order_p = np.concatenate([order_p, rng.permutation(len(p))])
+            a, order_p = order_p[:some], order_p[some:]
+            pb, ub = p[a], np.asarray(u[cuts[k] : cuts[k + 1]])
+            zp, zu = (params[:-1][x].sum(axis=1) + params[-1] for x in (pb, ub))
             gp, gu = gradient(zp, zu)
-            grad = np.bincount(np.concatenate([p[a].ravel(), u[b].ravel()]), weights=np.concatenate([np.repeat(gp, p.shape[1]), np.repeat(gu, u.shape[1])]), minlength=size)
+            grad = np.bincount(np.concatenate([pb.ravel(), ub.ravel()]), weights=np.concatenate([np.repeat(gp, p.shape[1]), np.repeat(gu, u.shape[1])]), minlength=size)
             grad = np.concatenate([grad + L2 * params[:-1], [gp.sum() + gu.sum()]])
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -142,47 +162,124 @@ def non_negative_gradient(prior: float):
     return gradient
 
 
-def class_prior(p_scores: np.ndarray, u_scores: np.ndarray, delta: float = 0.1) -> float:
-    """The share of positives among the unlabelled, from held-out scores."""
+def class_prior(p_scores: np.ndarray, u_scores: Iterator[np.ndarray], delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from held-out scores; those of the unlabelled come in blocks."""
     cuts = np.unique(p_scores)
     p_above = 1 - np.searchsorted(np.sort(p_scores), cuts) / len(p_scores)
-    u_above = 1 - np.searchsorted(np.sort(u_scores), cuts) / len(u_scores)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p_scores)) + 1 / np.sqrt(len(u_scores)))
+    passed = np.zeros(len(cuts) + 1, np.int64)  # how many reach so many cuts
+    for block in u_scores:
+        passed += np.bincount(np.searchsorted(cuts, block, side="right"), minlength=len(cuts) + 1)
+    n = passed.sum()
+    u_above = passed[::-1].cumsum()[::-1][1:] / n
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p_scores)) + 1 / np.sqrt(n))
     best = np.argmin((u_above + slack) / np.maximum(p_above, 1e-9))
     return float(np.clip(u_above[best] / p_above[best], 0.01, 1.0))
 
 
+def _fit(edges: np.ndarray, p: np.ndarray, u: np.ndarray, epochs: int) -> QualityModel:
+    """Fit on binned rows, those of the unlabelled in random order."""
+    size = edges.shape[0] * BINS
+    priors = []
+    for fold in (0, 1) if len(p) > 3 and len(u) > 3 else ():  # each half is scored by a fit on the other
+        w, b = _minimise(p[fold::2], u[fold::2], size, _logistic, max(1, epochs // 2))
+        held = u[1 - fold :: 2]
+        blocks = (w[np.asarray(held[i : i + BLOCK])].sum(axis=1) + b for i in range(0, len(held), BLOCK))
+        priors.append(class_prior(w[p[1 - fold :: 2]].sum(axis=1) + b, blocks))
+    prior = float(np.mean(priors)) if priors else 1.0
+    w, b = _minimise(p, u, size, non_negative_gradient(prior), epochs)
+    return QualityModel(edges, w, b, prior)
+
+
 def train_on(p: np.ndarray, u: np.ndarray, epochs: int = EPOCHS) -> QualityModel:
     """Fit on feature rows of positives and of unlabelled documents."""
     edges = np.stack([np.quantile(np.concatenate([p[:, j], u[:, j]]), np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(p.shape[1])])
-    size = edges.shape[0] * BINS
-    pb, ub = _binned(p, edges), _binned(u, edges)
-    w, b = _minimise(pb[::2], ub[::2], size, _logistic, max(1, epochs // 2))
-    prior = class_prior(w[pb[1::2]].sum(axis=1) + b, w[ub[1::2]].sum(axis=1) + b) if len(p) > 3 and len(u) > 3 else 1.0
-    w, b = _minimise(pb, ub, size, non_negative_gradient(prior), epochs)
-    return QualityModel(edges, w, b, prior)
+    order = np.random.default_rng(1).permutation(len(u))
+    return _fit(edges, _binned(p, edges), _binned(u, edges)[order], epochs)
+
+
+def _cells(x: np.ndarray) -> np.ndarray:
+    """The leading bits of values from 0 on: 8 of the exponent and 11 of the fraction, in the order of the values."""
+    return x.astype(np.float32).view(np.int32) >> 12
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> QualityModel | None:
-    """Fit on bounded samples; None without positives or without unlabelled documents."""
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    good = least_by_md5(known.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id"), n_positive)
-    other = least_by_md5(texts.select("id").distinct().join(known.select("id"), "id", "left_anti"), n_unlabelled)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = _cells(_matrix(batch.column(0)))
+        for j in range(N_FEATURES):
+            values, counts = np.unique(cells[:, j], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), j, np.int32)), pa.array(values), pa.array(counts)], ["feature", "cell", "n"])
+
+
+def bin_edges(rows: DataFrame) -> np.ndarray | None:
+    """Features x inner edges from all rows' values (packed, in a column x): quantiles to a cell's width; None without rows."""
+    counts = rows.select("x").mapInArrow(_counted, "feature int, cell int, n bigint").groupBy("feature", "cell").agg(F.sum("n").alias("n")).toArrow()
+    feature, cell, n = (counts[c].to_numpy() for c in ("feature", "cell", "n"))
+    if not len(n):
+        return None
+    edges = []
+    for j in range(N_FEATURES):
+        order = np.argsort(cell[feature == j])
+        values, upto = cell[feature == j][order], n[feature == j][order].cumsum()
+        at = np.searchsorted(upto, np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1), side="right")
+        edges.append((values[at].astype(np.int32) << 12).view(np.float32).astype(np.float64))
+    return np.stack(edges)
+
+
+def _packed(edges: np.ndarray):
+    """Packed rows to blocks of their bins, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_binned(_matrix(batch.column(0)), edges).astype(np.uint8).tobytes()], pa.binary())], ["block"])
+
+    return run
 
-    def rows(ids: DataFrame) -> np.ndarray:
-        found = texts.join(F.broadcast(ids), "id", "left_semi").mapInArrow(_listed, "id bigint, x array<double>").toArrow()
-        x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
-        return x[np.argsort(found["id"].to_numpy(), kind="stable")]
 
-    p, u = rows(good), rows(other)
-    return train_on(p, u) if len(p) and len(u) else None
+def _bins(rows: DataFrame, edges: np.ndarray, file) -> np.ndarray:
+    """Bins of all rows in the order of a hash of their identifier, mapped from ``file``; blocks come one partition at a time."""
+    ordered = rows.orderBy(F.xxhash64("id"), "id", "x").select("x").mapInArrow(_packed(edges), "block binary")
+    ordered, _ = materialise(ordered.withColumn("k", F.monotonically_increasing_id()), "bins")
+    for row in ordered.orderBy("k").select("block").toLocalIterator():
+        file.write(row["block"])
+    file.flush()
+    return np.memmap(file.name, np.uint8, "r").reshape(-1, N_FEATURES)
+
+
+def _train(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, n_positive: int) -> QualityModel | None:
+    """Fit on the features (id, x) of all unlabelled documents and of a bounded sample of positives."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(label_col).alias("label"))
+    good = least_by_md5(known.filter("label = 1").select("id"), n_positive)
+    texts = features.filter("id IS NOT NULL")
+    found = texts.join(F.broadcast(good), "id", "left_semi").toArrow().combine_chunks()
+    if not found.num_rows:
+        return None
+    x = _matrix(found["x"])
+    p = x[np.lexsort((*x.T, found["id"].to_numpy()))]
+    other, _ = materialise(texts.join(known.select("id"), "id", "left_anti"), "unlabelled")
+    if other.isEmpty():
+        return None
+    edges = bin_edges(other.select("x").unionByName(texts.join(F.broadcast(good), "id", "left_semi").select("x")))
+    with tempfile.NamedTemporaryFile(prefix="weftline-bins-") as file:
+        return _fit(edges, _binned(p, edges), _bins(other, edges, file), EPOCHS)
+
+
+def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bw.bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_featured, "id bigint, x binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_positive: int = N_POSITIVE) -> QualityModel | None:
+    """Fit on all unlabelled documents; None without positives or without unlabelled documents."""
+    features, _ = materialise(_features(docs, id_col, text_col), "features")
+    return _train(features, labels, id_col, label_col, n_positive)
 
 
 def _score(model: QualityModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = model.score(text_features(batch.column(1))) if model else np.full(batch.num_rows, np.inf)
+            z = model.score(_matrix(batch.column(1))) if model else np.full(batch.num_rows, np.inf)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(_sigmoid(z), 6)), pa.array(z > 0)], ["id", "p", "keep"])
 
     return run
@@ -190,7 +287,6 @@ def _score(model: QualityModel | None):
 
 def quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, quality_score, keep) for every row."""
-    bw.bound_batches(docs.sparkSession)
-    model = model or train(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(model), "id bigint, p double, keep boolean").toDF("doc_id", "quality_score", "keep")
+    features, _ = materialise(_features(docs, id_col, text_col), "features")
+    model = model or _train(features, labels, id_col, label_col, N_POSITIVE)
+    return features.mapInArrow(_score(model), "id bigint, p double, keep boolean").toDF("doc_id", "quality_score", "keep")
