@@ -62,10 +62,10 @@ def dijkstra(rows, source):
     return links, best
 
 
-@pytest.mark.parametrize(("name", "targets"), [("shortest_path_unbounded", {15}), ("multi_target_unbounded", set(range(1, 201)))])
+@pytest.mark.parametrize(("name", "targets"), [("shortest_path_unbounded", {15}), ("multi_target_unbounded", set(range(1, 201))), ("multi_target_all", None)])
 def test_unbounded_paths_are_dijkstras(spark, name, targets):
     links, best = dijkstra(retrieval._edges(spark, MIDDLE).collect(), retrieval.SEED)
-    want = {n: d for n, d in best.items() if n in targets}
+    want = {n: d for n, d in best.items() if targets is None or n in targets}
     assert max(want.values()) > retrieval.BOUND
     rows = registry.QUERIES[name](spark, MIDDLE).collect()
     assert len(rows) == len(want) and {r["target"]: r["dist"] for r in rows} == want
@@ -75,6 +75,17 @@ def test_unbounded_paths_are_dijkstras(spark, name, targets):
         assert sum(min(w for n, w in links[a] if n == b) for a, b in zip(path, path[1:])) == r["dist"]
 
 
+def test_all_nodes_are_targets(spark):
+    links, _ = dijkstra(retrieval._edges(spark, MIDDLE).collect(), retrieval.SEED)
+    want = {retrieval.SEED: 0}
+    for depth in (1, 2):
+        for node in [n for n, k in want.items() if k == depth - 1]:
+            for other, _ in links.get(node, ()):
+                want.setdefault(other, depth)
+    assert max(want) > 500
+    assert {r["node"]: r["distance"] for r in registry.QUERIES["reachability_all"](spark, MIDDLE).collect()} == want
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 

@@ -275,6 +275,20 @@ def reachability(spark, d):
     return graph.reachable(_edges(spark, d), _node(spark, SEED), spark.range(1, 501).withColumnRenamed("id", "node"), 2)
 
 
+@query()
+def multi_target_all(spark, d):
+    """Shortest paths to all nodes of the graph, however far."""
+    edges = _edges(spark, d)
+    return _path_text(graph.multi_target(edges, SEED, graph.nodes_of(edges)))
+
+
+@query()
+def reachability_all(spark, d):
+    """``reachability`` with all nodes of the graph as targets."""
+    edges = _edges(spark, d)
+    return graph.reachable(edges, _node(spark, SEED), graph.nodes_of(edges), 2)
+
+
 @query(f"WITH {_HOPS.format(edges=EDGES_SQL, seed=SEED, most=1)} SELECT src, dst, weight FROM links WHERE src IN (SELECT node FROM hops) AND dst IN (SELECT node FROM hops)")
 def induced_subgraph(spark, d):
     return graph.dependencies(_edges(spark, d), _node(spark, SEED), 1)
