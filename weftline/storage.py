@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -55,6 +56,11 @@ def drop_all(spark: SparkSession) -> None:
     drop_path(spark, shared_dir(spark))
 
 
+def col(name: str) -> Column:
+    """The column of this very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that clash with none of ``df``'s, whatever their case."""
     taken = {c.lower() for c in df.columns}
