@@ -1,8 +1,8 @@
 """Awkward rows for every operator."""
 
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
-EXTRA = ("id", "H", "k", "first", "c0", "sig", "rep", "token", "v", "count", "content_hash", "bucket", "label", "gone_id")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in EXTRA)
+EXTRA = ("id", "H", "k", "first", "c0", "sig", "rep", "token", "v", "count", "content_hash", "bucket", "label", "gone_id", "meta.url", "a`b.c", "T")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in EXTRA)
 
 
 def table(spark, rows):

@@ -4,20 +4,28 @@ A text's signature has ``coords`` coordinates: the least value of as many hash f
 ``shingle``-grams. Documents are posted under their (coordinate, value) pairs and two of them are near
 duplicates if they collide in at least ``matches`` coordinates.
 
+* Documents with equal signatures are a class, brought together first by aggregates with a map-side part;
+  its least-numbered document stands for all, with their number.
 * Prefix merging. Coordinate-value pairs have one global order, the rarest first. Two documents with
   ``matches`` collisions share a pair among the first ``coords - matches + 1`` of each, so only these are
   posted; the order keeps documents out of the lists of pairs that very many share.
 * Skip merging. What a document's prefix leaves out, its ``matches - 1`` longest lists, is never merged;
   whether they collide there is looked up in the signatures of the candidates.
-* Documents with equal signatures are first brought together; one of them stands for all.
+* A list of over ``BLOCK`` documents is split by hash into blocks, and each two blocks are a unit of work of
+  their own. Within a unit collisions are counted by bit operations on what sets each signature apart from
+  the unit's most frequent values. A unit tells for each document how many partners it has there and which
+  of them hang together: a row a document, whatever the number of pairs.
 
 The join is exact for the signatures: no list, partner or candidate is dropped. Signatures approximate
 Jaccard similarity: a pair is kept if at least ``matches / coords`` of its coordinates agree.
 
-Nulls and corner cases. A null, empty or wordless text has no signature and no near duplicate. Rows with a
-null identifier cannot be named and take no part. Texts of fewer words than a shingle make one shingle of
-all their words. Rows that repeat an identifier count as one document. Case, punctuation and white space are
-ignored. An empty table gives no pairs. Other columns are not looked at.
+Nulls and corner cases. Identifiers are whole numbers (others are an error of the cast). A null, empty or
+wordless text has no signature, no near duplicate, and is a group of its own. Rows with a null identifier
+cannot be named and take no part; deduplication keeps them. Of rows that repeat an identifier the least text
+stands for the document; deduplication treats rows with that very text alike and keeps the others. Texts of
+fewer words than a shingle make one shingle of all their words. Case, punctuation and white space are ignored.
+Ties: groups are named after their least identifier. An empty table gives no rows. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.storage import drop_path, fresh, materialise
+from weftline.storage import col, drop_path, fresh, materialise
 
 from . import bytewords as bw
 
@@ -37,6 +45,8 @@ COORDS, MATCHES, SHINGLE = 64, 36, 3
 #: Lists of at least HOT documents are ordered by their length; at most HOT_TABLE such lengths are sent to
 #: the workers (the least length counted as hot rises with the data). This only orders pairs; it drops none.
 HOT, HOT_TABLE = 32, 100_000
+#: Lists of more documents are split into blocks of about so many. Pairs at once in NumPy.
+BLOCK, PAIRS = 8192, 1 << 18
 
 _MULT = bw.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -154,79 +164,207 @@ def _with_mask(coords: int, matches: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = _bits(_prefix(_matrix(batch.column(1), coords), matches, hot))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mask)], ["id", "sig", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mask), batch.column(2)], ["id", "sig", "mask", "copies"])
 
     return run
 
 
-def _merge_lists(coords: int, matches: int):
-    """Pairs of each list. A pair comes out of the first list only that the prefixes of both share."""
+def _small(sig: np.ndarray, mask: np.ndarray, own: np.ndarray, begin: np.ndarray, size: np.ndarray, matches: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, matches) of the near pairs of many short lists at once: rows begin[k] .. begin[k] + size[k] - 1 are list k."""
+    later = np.repeat(begin + size, size) - 1 - _ragged(begin, size)  # how many come after each row in its list
+    left = np.repeat(_ragged(begin, size), later)
+    right = left + 1 + _ragged(np.zeros(len(later), np.int64), later)
+    for lo in range(0, len(left), PAIRS // 16):
+        i, j = left[lo : lo + PAIRS // 16], right[lo : lo + PAIRS // 16]
+        same = sig[i] == sig[j]
+        n = same.sum(axis=1)
+        near = n >= matches
+        i, j, n, same = i[near], j[near], n[near], same[near]
+        first = (_bits(same) & mask[i] & mask[j] & ((np.int64(1) << own[i]) - 1)) == 0
+        yield i[first], j[first], n[first]
 
-    def pairs(token: int, ids: np.ndarray, sig: np.ndarray, mask: np.ndarray):
-        own = token >> 32
-        for i in range(len(ids) - 1):
-            same = sig[i + 1 :] == sig[i]
-            n = same.sum(axis=1)
-            near = np.flatnonzero(n >= matches)
-            if len(near):
-                both = _bits(np.ascontiguousarray(same[near])) & mask[i + 1 :][near] & mask[i]
-                near = near[(both & ((1 << own) - 1)) == 0]
-                other = ids[i + 1 :][near]
-                real = other != ids[i]
-                yield np.minimum(ids[i], other)[real], np.maximum(ids[i], other)[real], n[near][real]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found):
-            if found:
-                a, b, n = (np.concatenate(x) for x in zip(*found))
-                for lo in range(0, len(a), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000].astype(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin[k] .. begin[k] + size[k] - 1, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+def _long(sig: np.ndarray, mask: np.ndarray, own: int, other: np.ndarray, diagonal: bool, matches: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, near pairs) by rows: a matrix of rows of the unit's left block against its right block.
+
+    ``other`` marks the right block; a unit of one block compares rows with later ones. Signatures differ from
+    the most frequent value of each coordinate in a few bits. Two that both have it there agree; where both
+    lack it they may: only pairs of which that decides are looked up in full.
+    """
+    coords = sig.shape[1]
+    order = np.sort(sig, axis=0)
+    fresh_run = np.concatenate([np.ones((1, coords), bool), order[1:] != order[:-1]])
+    base = np.empty(coords, sig.dtype)
+    for c in range(coords):
+        at = np.flatnonzero(fresh_run[:, c])
+        base[c] = order[at[np.argmax(np.diff(np.append(at, len(order))))], c]
+    apart = _bits(sig != base).view(np.uint64)
+    below = mask.view(np.uint64) & np.uint64((1 << own) - 1)
+    whole = np.uint64((1 << coords) - 1)
+    a, b = (np.arange(len(sig)),) * 2 if diagonal else (np.flatnonzero(~other), np.flatnonzero(other))
+    sig_b, apart_b, below_b = sig[b], apart[b], below[b]
+    step = max(1, PAIRS // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        i = a[lo : lo + step]
+        either = apart[i][:, None] | apart_b[None, :]
+        both = apart[i][:, None] & apart_b[None, :]
+        prefix = below[i][:, None] & below_b[None, :]
+        sure = coords - np.bitwise_count(either)
+        near = (sure + np.bitwise_count(both) >= matches) & (~either & whole & prefix == 0)
+        if diagonal:
+            near &= np.arange(len(b))[None, :] > i[:, None]
+        unsure = near & ((sure < matches) | (both & prefix != 0))
+        x, y = np.nonzero(unsure)
+        for k in range(0, len(x), PAIRS // 16):
+            xs, ys = x[k : k + PAIRS // 16], y[k : k + PAIRS // 16]
+            same = sig[i[xs]] == sig_b[ys]
+            near[xs, ys] = (same.sum(axis=1) >= matches) & (_bits(same).view(np.uint64) & prefix[xs, ys] == 0)
+        yield lo, near
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Labels become the least row of what the pairs connect."""
+    while len(i):
+        while (label[label] != label).any():
+            label[:] = label[label]
+        one, two = label[i], label[j]
+        apart = one != two
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])  # pairs whose root went elsewhere come again
+
+
+def _merge_lists(coords: int, matches: int, pairs: bool):
+    """Sorted rows (token, unit, side, id, sig, mask, n) to (id, label, links), or to pairs (id, label, collisions).
+
+    A pair counts in the first list only that the prefixes of both share. ``links`` counts partners with their
+    copies; ``label`` is the least identifier that the document hangs together with in its unit.
+    """
+    names = ["id", "label", "links"]
+
+    def told(ids: np.ndarray, label: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+        has = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(ids[label[has]]), pa.array(links[has])], names)
+
+    def paired(ids, i, j, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(n.astype(np.int64))], names)
+
+    def short(token, side, ids, sig, mask, copies, begin, size) -> Iterator[pa.RecordBatch]:
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for i, j, n in _small(sig, mask, token >> 32, begin, size, matches):
+            if pairs:
+                yield paired(ids, i, j, n)
+                continue
+            links += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64) + np.bincount(j, weights=copies[i], minlength=len(ids)).astype(np.int64)
+            _unite(label, i, j)
+        if not pairs:
+            yield told(ids, label, links)
+
+    def long(token, side, ids, sig, mask, copies) -> Iterator[pa.RecordBatch]:
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        diagonal = not side.any()
+        a, b = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        for lo, near in _long(sig, mask, int(token[0]) >> 32, side == 1, diagonal, matches):
+            rows = a[lo : lo + len(near)]
+            if pairs:
+                x, y = np.nonzero(near)
+                for k in range(0, len(x), PAIRS // 16):
+                    i, j = rows[x[k : k + PAIRS // 16]], b[y[k : k + PAIRS // 16]]
+                    yield paired(ids, i, j, (sig[i] == sig[j]).sum(axis=1))
+                continue
+            has = np.flatnonzero(near.any(axis=1))
+            if not len(has):
+                continue
+            near = near[has]
+            links[rows[has]] += near @ copies[b]
+            links[b] += copies[rows[has]] @ near
+            head = np.argmax(near, axis=1)
+            _unite(label, rows[has], b[head])  # then whatever is not with its row's head yet
+            x, y = np.nonzero(near & (label[b][None, :] != label[rows[has]][:, None]))
+            _unite(label, rows[has][x], b[y])
+        if not pairs:
+            yield told(ids, label, links)
 
-        held: list[tuple] = []  # of the list that may go on in the next batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(t: tuple) -> Iterator[pa.RecordBatch]:
+            token, unit = t[0], t[1]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(unit) != 0)) + 1, [len(token)]])
+            begin, size = cuts[:-1], np.diff(cuts)
+            rest = (t[0], *t[2:])
+            few = (size > 1) & (size <= 64)
+            if few.any():
+                yield from short(*rest, begin[few], size[few])
+            for k in np.flatnonzero(size > 64):
+                yield from long(*(x[cuts[k] : cuts[k + 1]] for x in rest))
+
+        held: list[tuple] = []  # rows of the list that may go on in the next batch
         for batch in batches:
-            token, ids, mask = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            sig = _matrix(batch.column(2), coords)
-            cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-            found: list[tuple] = []
-            if held and len(token) and held[0][0] != token[0]:
-                found += pairs(held[0][0], *(np.concatenate(x) for x in list(zip(*held))[1:]))
-                held = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi == len(token):
-                    held.append((int(token[lo]), ids[lo:hi].copy(), sig[lo:hi].copy(), mask[lo:hi].copy()))
-                elif held:
-                    held.append((int(token[lo]), ids[lo:hi], sig[lo:hi], mask[lo:hi]))
-                    found += pairs(held[0][0], *(np.concatenate(x) for x in list(zip(*held))[1:]))
-                    held = []
-                elif hi - lo > 1:
-                    found += pairs(int(token[lo]), ids[lo:hi], sig[lo:hi], mask[lo:hi])
-            yield from out(found)
+            if not batch.num_rows:
+                continue
+            token, unit, side, ids, mask, copies = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 5, 6))
+            rows = (token, unit, side, ids, _matrix(batch.column(4), coords), mask, copies)
+            change = np.flatnonzero((np.diff(token) != 0) | (np.diff(unit) != 0))
+            if held and (held[0][0][0], held[0][1][0]) == (token[0], unit[0]) and not len(change):
+                held.append(tuple(x.copy() for x in rows))
+                continue
+            cut = int(change[-1]) + 1 if len(change) else 0
+            held.append(tuple(x[:cut] for x in rows))
+            yield from merged(tuple(np.concatenate(x) for x in zip(*held)))
+            held = [tuple(x[cut:].copy() for x in rows)]
         if held:
-            yield from out(list(pairs(held[0][0], *(np.concatenate(x) for x in list(zip(*held))[1:]))))
+            yield from merged(tuple(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coords: int = COORDS, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:
-    """Near-duplicate pairs: (doc_a, doc_b, matches), doc_a < doc_b.
+def _one_text_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of named documents with a text; of several texts of an identifier the least."""
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return rows
+    often = rows.groupBy("id").count().filter("count > 1").select("id")
+    return rows.join(often, "id", "left_anti").unionByName(rows.join(often, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
-    All pairs of documents with different signatures are there; a document whose signature equals an earlier
-    one's is paired with the first of these alone (all its ``coords`` coordinates match), so that n equal
-    documents give n - 1 rows. A document's other pairs are those of the document that it equals.
-    """
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, coords: int, matches: int, shingle: int, pairs: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(links of class representatives, (id, rep, copies) of all signed documents, written tables to be deleted)."""
     bw.bound_batches(docs.sparkSession)
-    named = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    signed = named.mapInArrow(_signatures(coords, shingle), "id bigint, sig binary")
-    same = Window.partitionBy("sig")
-    members, _ = materialise(signed.select("id", "sig", F.min("id").over(same).alias("rep"), (F.row_number().over(same.orderBy("id")) == 1).alias("first")), "signatures")
-    reps = members.filter("first").select("id", "sig")
+    texts = _one_text_each(docs, id_col, text_col).select("id", F.lower("text").alias("text"))
+    signed, p0 = materialise(texts.mapInArrow(_signatures(coords, shingle), "id bigint, sig binary").select("id", "sig", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")), "signatures")
+    keys = signed.select("id", "h1", "h2")  # 128 bits stand for a signature
+    classes = keys.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members, p1 = materialise(keys.join(classes, ["h1", "h2"]).select("id", "rep", "copies"), "classes")
+    reps, p2 = materialise(signed.select("id", "sig").join(members.filter("id = rep").select("id", "copies"), "id"), "representatives")
     hot = _hot_lists(reps, coords)
-    posted = reps.mapInArrow(_post(coords, matches, hot), "token bigint, id bigint")
-    shared = posted.withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1").select("token", "id")
-    lists = shared.join(reps.mapInArrow(_with_mask(coords, matches, hot), "id bigint, sig binary, mask bigint").hint("merge"), "id")
-    found = lists.select("token", "id", "sig", "mask").repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_merge_lists(coords, matches), "a bigint, b bigint, n bigint")
-    equal = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(coords).cast("bigint").alias("n")).distinct()
-    return found.unionByName(equal).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("n").alias("matches"))
+    posted = reps.select("id", "sig").mapInArrow(_post(coords, matches, hot), "token bigint, id bigint")
+    lengths = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = posted.join(lengths, "token")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks.cast("bigint")).cast("int")
+    units = shared.select("token", "id", blocks.alias("blocks"), own.alias("own")).select("token", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "blocks")
+    units = units.select("token", "id", (F.least("own", "with").cast("bigint") * F.col("blocks") + F.greatest("own", "with")).alias("unit"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
+    signatures = reps.mapInArrow(_with_mask(coords, matches, hot), "id bigint, sig binary, mask bigint, copies bigint")
+    lists = units.join(signatures.hint("merge"), "id").select("token", "unit", "side", "id", "sig", "mask", "copies")
+    links = lists.repartition(F.col("token"), F.col("unit")).sortWithinPartitions("token", "unit").mapInArrow(_merge_lists(coords, matches, pairs), "id bigint, label bigint, links bigint")
+    return links, members, [p0, p1, p2]
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coords: int = COORDS, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:
+    """Near pairs of class representatives, and of each with its copies: (doc_a, doc_b, matches), doc_a < doc_b.
+
+    n documents of one signature give n - 1 rows; a document's other pairs are those of its representative.
+    For groups and numbers of links no pair need be written: ``near_groups``.
+    """
+    links, members, paths = _linked(docs, id_col, text_col, coords, matches, shingle, True)
+    equal = members.filter("id <> rep").select(F.col("rep").alias("id"), F.col("id").alias("label"), F.lit(coords).cast("bigint").alias("links"))
+    found, _ = materialise(links.unionByName(equal).toDF("doc_a", "doc_b", "matches"), "pairs")
+    drop_path(docs.sparkSession, *paths)
+    return found
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -234,15 +372,18 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
     Large-star and small-star rounds alternate until a round changes nothing; the edges are written in the
     shared folder each round, and the number of rounds grows with the logarithm of the size of a component.
+    A node's least neighbour is aggregated map-side and joined back, so that a node with many neighbours is
+    many tasks' work.
     """
     spark = pairs.sparkSession
     edges, path = materialise(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     size = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.filter("u <> v").distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        joined = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = small.select("u", F.col("m").alias("v")).unionByName(large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after, fresh_path = materialise(joined, "edges")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
@@ -253,16 +394,51 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, coords: int = COORDS, matches: int = MATCHES, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(links, members, groups of class representatives that have links, written tables)."""
+    links, members, paths = _linked(docs, id_col, text_col, coords, matches, shingle, False)
+    told, path = materialise(links.groupBy("id", "label").agg(F.sum("links").alias("links")), "links")
+    return told, members, components(told, "id", "label"), [*paths, path]
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """Near-duplicate pairs with their group: (doc_a, doc_b, matches, group_id)."""
-    pairs, _ = materialise(near_pairs(docs, id_col, text_col, **options), "pairs")
-    return pairs.join(components(pairs).withColumnRenamed("id", "doc_a"), "doc_a").select("doc_a", "doc_b", "matches", "group_id")
+    """(doc_id, class_id, group_id, n_links) of every document.
+
+    ``class_id`` is the least document with the same signature, ``group_id`` the least one that near-duplicate links lead to,
+    ``n_links`` the number of documents that are near duplicates of this one, copies included.
+    """
+    told, members, groups, paths = _grouped(docs, id_col, text_col, **options)
+    degree = told.groupBy("id").agg(F.sum("links").alias("links"))
+    ids = docs.select(col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
+    linked = degree.join(groups, "id", "full").withColumnRenamed("id", "rep")
+    rows = ids.join(members, "id", "left").join(linked, "rep", "left")
+    found, _ = materialise(
+        rows.select(
+            F.col("id").alias("doc_id"),
+            F.coalesce("rep", "id").alias("class_id"),
+            F.coalesce("group_id", "rep", "id").alias("group_id"),
+            (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+        ),
+        "groups",
+    )
+    drop_path(docs.sparkSession, *paths)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` without all but the least-numbered document of each near-duplicate group; its columns as they are."""
-    pairs, path = materialise(near_pairs(docs, id_col, text_col, **options), "pairs")
-    (gone,) = fresh(docs, "gone_id")
-    losers, _ = materialise(components(pairs).filter("id <> group_id").select(F.col("id").alias(gone)), "losers")
-    drop_path(docs.sparkSession, path)
-    return docs.join(losers, F.col(id_col) == F.col(gone), "left_anti")
+    told, members, groups, paths = _grouped(docs, id_col, text_col, **options)
+    gone, text = fresh(docs, "gone_id", "gone_text")
+    lost = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").filter("id <> coalesce(group_id, rep)").select("id")
+    # the very text that stood for the document: others under its identifier stay
+    texts = docs.select(col(id_col).cast("bigint").alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    often = texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if often.isEmpty():
+        losers, _ = materialise(lost.select(F.col("id").alias(gone)), "losers")
+        on = col(id_col).cast("bigint") == F.col(gone)
+    else:
+        stood = _one_text_each(docs, id_col, text_col).select("id", F.xxhash64("text").alias(text))
+        losers, _ = materialise(stood.join(lost, "id", "left_semi").select(F.col("id").alias(gone), text), "losers")
+        on = (col(id_col).cast("bigint") == F.col(gone)) & (F.xxhash64(col(text_col)) == F.col(text))
+    drop_path(docs.sparkSession, *paths)
+    return docs.join(losers, on, "left_anti")
