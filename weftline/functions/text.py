@@ -30,7 +30,7 @@ def _starts(text: Column, *prefixes: str) -> Column:
     return out
 
 
-# -- tokens -----------------------------------------------------------------------------------------------
+# -- tokens -----
 
 
 def code_tokens(text: Column) -> Column:
@@ -50,12 +50,14 @@ def code_tokens(text: Column) -> Column:
 
 def tokens_of(text: str) -> list[str]:
     """The same of one Python string: for queries, which are known when the plan is made."""
-    out: list[str] = []
-    for token in re.findall(TOKEN, text):
-        out.append(token)
-        if re.match("[A-Za-z_]", token):
-            out += [p for p in token.split("_") if p] if "_" in token else re.findall(CAMEL, token)
-    return out
+    return [part for token in re.findall(TOKEN, text) for part in parts_of(token)]
+
+
+def parts_of(token: str) -> list[str]:
+    """A token and, of an identifier, its parts."""
+    if not re.match("[A-Za-z_]", token):
+        return [token]
+    return [token, *([p for p in token.split("_") if p] if "_" in token else re.findall(CAMEL, token))]
 
 
 def content_type(text: Column) -> Column:
@@ -76,7 +78,7 @@ def content_weight(kind: Column) -> Column:
     return out
 
 
-# -- transformations of a text ------------------------------------------------------------------------------
+# -- transformations of a text -----
 
 
 def _lines(text: Column) -> Column:
@@ -122,7 +124,7 @@ def transform(operation: str, text: Column) -> Column:
     return F.concat(F.lit(f"[{operation}] "), text)
 
 
-# -- paths ------------------------------------------------------------------------------------------------
+# -- paths -----
 
 
 def path_error(path: Column) -> Column:
@@ -175,7 +177,7 @@ def relative_time(seconds: Column, at: Column) -> Column:
     )
 
 
-# -- code measures ------------------------------------------------------------------------------------------
+# -- code measures -----
 
 
 def _line_rules(x: Column, language: Column) -> dict[str, Column]:
@@ -210,3 +212,8 @@ def code_measures(text: Column, language: Column) -> Column:
         total("imports").alias("import_count"),
         (F.lit(1.0) + total("tenths") / 10).alias("complexity_score"),
     )
+
+
+def message(kind: str, *fields: Column) -> Column:
+    """A typed event as JSON: the kind, then the named fields."""
+    return F.to_json(F.struct(F.lit(kind).alias("type"), *fields))

@@ -1,20 +1,28 @@
-"""Code-aware BM25 over a table of texts.
+"""Code-aware BM25 over a table of texts: an inverted index that is stored, and searched without the texts.
 
-A single query needs no index: its terms are known when the plan is made, so each text is tokenised where it
-lies, the corpus statistics are one partial aggregate, and only the best rows leave the scan. Many queries
-at once go through postings, pruned to the queried terms before they are shuffled.
+Texts are tokenised once, a batch at a time, when the index is built. Its postings (term, doc_id, tf, length, weight)
+are split by a hash of the term and sorted, so that a query reads the row groups of its own terms and no text; they
+carry what a score takes, so that nothing is joined but one row of corpus statistics.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import code_tokens, content_type, content_weight, tokens_of
+from weftline.functions.text import TOKEN, content_type, content_weight, parts_of, tokens_of
+from weftline.storage import drop_path, materialise, new_path
 
 K1, B = 1.2, 0.75
+#: Parts of the postings by hash of the term; a frequent term is split further by hash of the document when written.
+BUCKETS, SALTS = 64, 8
+CACHE_TOKENS = 200_000
 
 
 def idf(n: Column, df: Column, plus_one: bool = False) -> Column:
@@ -27,56 +35,128 @@ def tf_weight(tf: Column, length: Column, mean_length: Column, k1: float = K1, b
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
-def documents_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, length, content_type, weight) of each text."""
-    base = docs.select(F.col(id_col).alias("doc_id"), code_tokens(F.col(text_col)).alias("tokens"), content_type(F.col(text_col)).alias("content_type"))
-    return base.filter(F.col("tokens").isNotNull()).select("doc_id", "tokens", F.size("tokens").alias("length"), "content_type", content_weight(F.col("content_type")).alias("weight"))
+def _counted(only: frozenset[str] | None):
+    """Rows (id, text, ...) to (length, different terms, terms, times): of all terms, or of some."""
+    find, cache = re.compile(TOKEN).findall, {}
 
+    def terms(text: str) -> tuple[int, Counter]:
+        length, out = 0, Counter()
+        for token, n in Counter(find(text)).items():
+            parts = cache.get(token)
+            if parts is None:
+                if len(cache) > CACHE_TOKENS:
+                    cache.clear()
+                parts = cache[token] = parts_of(token)
+            length += n * len(parts)
+            for part in parts:
+                out[part] += n
+        return length, out
 
-def postings(index: DataFrame) -> DataFrame:
-    """(term, doc_id, tf)."""
-    return index.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                told = [terms(t) for t in batch.column(1).to_pylist()]
+                kept = [c if only is None else Counter({t: c[t] for t in only if c[t]}) for _, c in told]
+                columns = [*(batch.column(i) for i in (0, 2, 3)), pa.array([n for n, _ in told], pa.int64()), pa.array([len(c) for _, c in told], pa.int64())]
+                columns += [pa.array([list(c) for c in kept], pa.list_(pa.string())), pa.array([list(c.values()) for c in kept], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content_type", "weight", "length", "n_terms", "terms", "tfs"])
 
+    return run
 
-def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def typed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, content_type, weight) of each text."""
+    kind = content_type(F.col(text_col))
+    return docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), kind.alias("content_type"), content_weight(kind).alias("weight"))
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: frozenset[str] | None = None) -> DataFrame:
+    """(doc_id, content_type, weight, length, n_terms, terms, tfs) of each text, tokenised once."""
+    rows = typed(docs, id_col, text_col)
+    return rows.mapInArrow(_counted(only), f"doc_id {dict(rows.dtypes)['doc_id']}, content_type string, weight double, length bigint, n_terms bigint, terms array<string>, tfs array<bigint>")
+
+
+def _corpus(counted: DataFrame) -> DataFrame:
+    return counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
+
+
+def _postings(counted: DataFrame) -> DataFrame:
+    pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    return counted.select("doc_id", "length", "weight", pair).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").alias("tf"), "length", "weight")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: ``documents`` (doc_id, content_type, weight, length, n_terms), ``postings`` and one row of ``corpus``."""
+
+    documents: DataFrame
+    postings: DataFrame
+    corpus: DataFrame
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only their parts of the table are read."""
+        parts = [F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int") for t in terms]
+        return self.postings.filter(F.col("bucket").isin(*parts) & F.col("term").isin(*terms)) if terms else self.postings.limit(0)
+
+
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Tokenise all texts and write the index under ``path``, in the shared folder by default."""
+    spark = docs.sparkSession
+    path = path or new_path(spark, "lexical")
+    counted = term_counts(docs, id_col, text_col)
+    counted.write.mode("overwrite").parquet(f"{path}/counts")
+    counted = spark.read.parquet(f"{path}/counts")
+    counted.drop("terms", "tfs").write.mode("overwrite").parquet(f"{path}/documents")
+    _corpus(counted).write.mode("overwrite").parquet(f"{path}/corpus")
+    placed = _postings(counted).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    parts = placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "doc_id")
+    parts.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    drop_path(spark, f"{path}/counts")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    documents, corpus = (spark.read.parquet(f"{path}/{t}") for t in ("documents", "corpus"))
+    schema = f"term string, doc_id {dict(documents.dtypes)['doc_id']}, tf bigint, length bigint, weight double, bucket int"
+    return Index(documents, spark.read.schema(schema).parquet(f"{path}/postings"), corpus)
+
+
+def corpus_stats(index: Index) -> DataFrame:
     """One row: documents, distinct terms, all terms, mean length."""
-    index = documents_index(docs, id_col, text_col)
-    terms = index.select(F.explode("tokens").alias("term")).groupBy("term").count().agg(F.count("*").alias("n_terms"))
-    return index.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_terms"), F.round(F.avg("length"), 6).alias("avg_length")).crossJoin(F.broadcast(terms))
+    terms = index.postings.groupBy("term").count().agg(F.count("*").alias("n_terms"))
+    told = index.documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_terms"), F.round(F.avg("length"), 6).alias("avg_length"))
+    return told.crossJoin(F.broadcast(terms))  # one row
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda x: x == term))
+def _best(rows: DataFrame, corpus: DataFrame, terms: Counter, n: int, k1: float, b: float, plus_one: bool) -> DataFrame:
+    asked = rows.sparkSession.createDataFrame(sorted(terms.items()), "term string, times bigint")
+    df = rows.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term").crossJoin(F.broadcast(corpus))  # a row a term of the query
+    part = idf(F.col("n_docs"), F.col("df"), plus_one) * tf_weight(F.col("tf"), F.col("length"), F.col("mean"), k1, b) * F.col("weight") * F.col("times")
+    found = rows.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matching_terms"))
+    return found.orderBy(F.desc("score"), "doc_id").limit(n)
 
 
-def search(docs: DataFrame, query: str, n: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, plus_one: bool = False) -> DataFrame:
+def search_index(index: Index, query: str, n: int = 10, k1: float = K1, b: float = B, plus_one: bool = False) -> DataFrame:
     """(doc_id, score, matching_terms): the ``n`` best documents; every occurrence of a query token counts."""
     terms = Counter(tokens_of(query))
-    index = documents_index(docs, id_col, text_col)
-    names = {term: f"tf{i}" for i, term in enumerate(terms)}
-    counted = index.select("doc_id", "length", "weight", *[_occurrences(t).alias(c) for t, c in names.items()])
-    stats = counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names.values()])
-    hit = F.lit(False)
-    score = F.lit(0.0)
-    for term, c in names.items():
-        hit = hit | (F.col(c) > 0)
-        part = idf(F.col("n_docs"), F.col(f"df_{c}"), plus_one) * tf_weight(F.col(c), F.col("length"), F.col("mean"), k1, b) * F.col("weight")
-        score = score + F.when(F.col(c) > 0, part).otherwise(0.0) * terms[term]
-    matching = F.array_sort(F.filter(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for t, c in names.items()]), lambda x: x.isNotNull())) if names else F.array().cast("array<string>")
-    found = counted.filter(hit).crossJoin(F.broadcast(stats))  # one row
-    return found.select("doc_id", F.round(score, 6).alias("score"), matching.alias("matching_terms")).orderBy(F.desc("score"), "doc_id").limit(n)
-
-
-def batch_search(docs: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    return _best(index.of_terms(list(terms)).select("term", "doc_id", "tf", "length", "weight"), index.corpus, terms, n, k1, b, plus_one)
+
+
+def search(docs: DataFrame, query: str, n: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, plus_one: bool = False) -> DataFrame:
+    """The same without an index: one pass over the texts writes the counts of the query's terms."""
+    terms = Counter(tokens_of(query))
+    counted, _ = materialise(term_counts(docs, id_col, text_col, frozenset(terms)), "term-counts")
+    return _best(_postings(counted), _corpus(counted), terms, n, k1, b, plus_one)
+
+
+def batch_search(index: Index, queries: DataFrame, n: int = 5, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score): the ``n`` best documents of every query."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(code_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    index = documents_index(docs, id_col, text_col)
-    stats = index.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    tokens = index.select("doc_id", "length", "weight", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("weight").alias("weight"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    asked, _ = materialise(_postings(term_counts(queries, query_id, query_text)).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("times")), "asked")
+    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(index.corpus))  # one row
     part = idf(F.col("n_docs"), F.col("df")) * tf_weight(F.col("tf"), F.col("length"), F.col("mean")) * F.col("weight") * F.col("times")
-    scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = wanted.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.filter(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")

@@ -64,7 +64,7 @@ class Engine:
             "transform": Primitive(self.transform, self._check_transform),
         }
 
-    # -- tables -------------------------------------------------------------------------------------------
+    # -- tables -----
 
     def table(self, name: str) -> DataFrame:
         try:
@@ -85,7 +85,7 @@ class Engine:
     def new_session() -> str:
         return f"session-{time.time_ns()}"
 
-    # -- validation ---------------------------------------------------------------------------------------
+    # -- validation -----
 
     @staticmethod
     def _check_search(params: dict[str, Any]) -> None:
@@ -99,7 +99,7 @@ class Engine:
         if params["operation"] not in (*TRANSFORMS, *PASSED_THROUGH):
             raise InvalidRequest("unknown operation")
 
-    # -- dispatch -----------------------------------------------------------------------------------------
+    # -- dispatch -----
 
     def register(self, name: str, execute: Callable[..., DataFrame], validate: Callable[[dict[str, Any]], None] = lambda p: None) -> None:
         self.primitives[name] = Primitive(execute, validate)
@@ -115,7 +115,7 @@ class Engine:
         self._append("operations", [(self._next(), int(time.time()), name, agent_id or self.agent_id, (time.perf_counter() - began) * 1000, self.session_id)])
         return result
 
-    # -- primitives ---------------------------------------------------------------------------------------
+    # -- primitives -----
 
     def store(self, key: str, value: str, metadata: dict[str, Any] | None = None, embedding: list[float] | None = None) -> DataFrame:
         """(success, key, timestamp, indexed)."""
@@ -198,7 +198,7 @@ class Engine:
 
     def batch_search(self, queries: DataFrame, n: int = 5) -> DataFrame:
         """Lexical search for a table of (item_id, text) at once."""
-        return lexical.batch_search(self.documents(), queries, n)
+        return lexical.batch_search(lexical.build_index(self.documents()), queries, n)
 
     def link(self, source: str, target: str, relation: str, metadata: dict[str, Any] | None = None) -> DataFrame:
         """(success, source, relation, target, timestamp)."""
@@ -212,7 +212,7 @@ class Engine:
         told = row.select(F.lit(operation).alias("operation"), transform(operation, F.col("data")).alias("output"), F.length("data").alias("input_size"))
         return told.withColumn("output_size", F.length("output"))
 
-    # -- logs ---------------------------------------------------------------------------------------------
+    # -- logs -----
 
     def operation_logs(self, agent: str | None = None, n: int = 100) -> DataFrame:
         """The newest operations, of agents whose name has ``agent`` in it."""

@@ -51,6 +51,33 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another state is another table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(target)))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared folder; a reader sees the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(target, False)
+    store.rename(part, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What ``write_text`` wrote; None if there is no such file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete everything that this application wrote in the shared folder: at its end."""
     drop_path(spark, shared_dir(spark))
