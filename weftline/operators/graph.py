@@ -44,9 +44,23 @@ def _relax(edges: DataFrame, seeds: DataFrame, cost: Column, bound: float | None
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int, direction: str = "out") -> DataFrame:
-    """(node, distance): the fewest edges from any seed, up to ``most``; seeds have 0."""
-    found, _ = _relax(oriented(edges, direction).select("src", "dst").distinct(), seeds, F.lit(1), None, most, "int")
-    return found.withColumnRenamed("dist", "distance")
+    """(node, distance): the fewest edges from any seed, up to ``most``; seeds have 0.
+
+    The edges are written once; a round joins the last level with them, and what is reached already is left out by an anti-join.
+    """
+    spark = edges.sparkSession
+    light, path = materialise(oriented(edges, direction).select("src", "dst").distinct(), "edges")
+    level, _ = materialise(seeds.select("node", F.lit(0).alias("distance")).distinct(), "level")
+    reached = level
+    for depth in range(1, most + 1):
+        ahead = light.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+        level, level_path = materialise(ahead.select("node", F.lit(depth).alias("distance")), "level")
+        if level.isEmpty():
+            drop_path(spark, level_path)
+            break
+        reached = reached.unionByName(level)
+    drop_path(spark, path)
+    return reached
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, bound: float, direction: str = "out") -> DataFrame:

@@ -1,7 +1,7 @@
 """Graphs of several densities from entities and relationships.
 
 Nodes are entities and keep their identifiers. Co-occurrence is within a turn of a conversation, similarity of names
-within a project.
+among all entities.
 """
 
 from __future__ import annotations
@@ -74,12 +74,23 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(score)
 
 
-def similar_names(found: DataFrame, least: float = 0.6, block: str = "project") -> DataFrame:
-    """Pairs of entities of one block whose names are similar, from the lesser identifier."""
-    a = found.select(block, F.col("entity_id").alias("from_id"), F.col("name").alias("name_a"))
-    b = found.select(block, F.col("entity_id").alias("to_id"), F.col("name").alias("name_b"))
-    scored = a.join(b, block).filter("from_id < to_id").withColumn("weight", F.round(name_similarity(F.col("name_a"), F.col("name_b")), 6))
-    return scored.filter(F.col("weight") > least).select("from_id", "to_id", F.lit("similar").alias("edge_type"), "weight")
+def similar_names(found: DataFrame, least: float = 0.6, block: str | None = None, present: DataFrame | None = None) -> DataFrame:
+    """Pairs of entities whose names are similar, from the lesser identifier, unless an edge joins them already.
+
+    Similar names share their first or their last character, by which they are joined; their pairs are as many as their
+    definition makes them. With ``block``, a column such as the project, only pairs within a block are looked at.
+    """
+    ends = F.array(F.concat(F.lit("^"), F.substring("name", 1, 1)), F.concat(F.lit("$"), F.substring(F.reverse("name"), 1, 1)))
+    named = found.filter("name <> ''").select(*([F.col(block)] if block else []), "entity_id", "name", F.explode(ends).alias("end"))
+    keys = [*([block] if block else []), "end"]
+    a = named.select(*keys, F.col("entity_id").alias("from_id"), F.col("name").alias("name_a"))
+    b = named.select(*keys, F.col("entity_id").alias("to_id"), F.col("name").alias("name_b"))
+    both = a.join(b, keys).filter("from_id < to_id")
+    once = both.filter(F.col("end").startswith("^") | (F.substring("name_a", 1, 1) != F.substring("name_b", 1, 1)))
+    scored = once.withColumn("weight", F.round(name_similarity(F.col("name_a"), F.col("name_b")), 6)).filter(F.col("weight") > least)
+    if present is not None:
+        scored = scored.join(present.select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_anti")
+    return scored.select("from_id", "to_id", F.lit("similar").alias("edge_type"), "weight")
 
 
 def temporal_weight(seconds: Column) -> Column:
@@ -87,11 +98,14 @@ def temporal_weight(seconds: Column) -> Column:
     return 1.0 / F.greatest(F.lit(1.0), seconds / 3600.0)
 
 
-def evolution_edges(found: DataFrame, block: str = "project") -> DataFrame:
-    """From an entity to the next of its type in its block, weighing less the longer it takes."""
-    order = Window.partitionBy(block, "entity_type").orderBy("ts", "entity_id")
-    ahead = found.select(F.col("entity_id").alias("from_id"), F.lead("entity_id").over(order).alias("to_id"), (F.lead("ts").over(order) - F.col("ts")).alias("gap"))
-    return ahead.filter("to_id IS NOT NULL AND gap > 0").select("from_id", "to_id", F.lit("temporal").alias("edge_type"), F.round(temporal_weight(F.col("gap")), 6).alias("weight"))
+def evolution_edges(found: DataFrame, block: str = "project", present: DataFrame | None = None) -> DataFrame:
+    """From each entity to every later one of its type in its block that no edge joins to it yet, weighing less the longer it takes."""
+    a = found.select(block, "entity_type", F.col("entity_id").alias("from_id"), F.col("ts").alias("t0"))
+    b = found.select(block, "entity_type", F.col("entity_id").alias("to_id"), F.col("ts").alias("t1"))
+    pairs = a.join(b, [block, "entity_type"]).filter("t0 < t1")
+    if present is not None:
+        pairs = pairs.join(present.select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_anti")
+    return pairs.select("from_id", "to_id", F.lit("temporal").alias("edge_type"), F.round(temporal_weight(F.col("t1") - F.col("t0")), 6).alias("weight"))
 
 
 def hourly_links(rows: DataFrame, id_col: str = "entity_id", seconds: str = "ts", ahead: int = 5, strength: float = 0.5) -> DataFrame:
@@ -135,7 +149,10 @@ def build(found: DataFrame, links: DataFrame, density: str = "sparse") -> tuple[
     if density == "dense":
         edges = edges.unionByName(dense_edges(links, edges))
         if {"project", "ts"} <= set(found.columns):
-            edges = edges.unionByName(similar_names(found)).unionByName(evolution_edges(found)).unionByName(hourly_links(found))
+            kept = nodes(found, density)
+            edges = edges.unionByName(similar_names(kept, present=edges)).unionByName(evolution_edges(kept, present=edges))
+            hourly = hourly_links(kept)
+            edges = edges.unionByName(hourly.join(edges.select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_anti").select(*hourly.columns))
     return nodes(found, density), edges
 
 

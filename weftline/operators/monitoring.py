@@ -196,3 +196,21 @@ def running_mean(ops: DataFrame, key: str = "op", value: str = "latency_ms", ord
 def describe(ops: DataFrame, key: str = "op", value: str = "latency_ms") -> DataFrame:
     """Mean, sample deviation and percentiles."""
     return ops.groupBy(key).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stddev"), *_percentiles(value, {"p50": 0.5, "p90": 0.9, "p99": 0.99}))
+
+
+def participation(ops: DataFrame) -> DataFrame:
+    """One row an operation: how many, by how many agents, and how many each."""
+    n, agents = F.count("*"), F.count_distinct("agent_id")
+    return ops.groupBy("op").agg(n.alias("n"), agents.alias("agents"), F.round(n / agents, 6).alias("per_agent"))
+
+
+def participants(events: DataFrame, order: str = "seq") -> DataFrame:
+    """(agent_id, contributions, present) from joins, leaves and contributions (column kind): who left last is not present."""
+    return events.groupBy("agent_id").agg(F.count_if(F.col("kind") == "contribution").alias("contributions"), (F.max_by("kind", order) != "leave").alias("present"))
+
+
+def metric_regressions(current: DataFrame, baseline: DataFrame, most_percent: dict[str, float], key: str = "name") -> DataFrame:
+    """(key, metric, value, baseline, percent, regressed): each metric against its own bound."""
+    both = suite_regressions(current, baseline, list(most_percent), float("-inf"), key)
+    bound = F.create_map(*[F.lit(x) for pair in most_percent.items() for x in pair])[F.col("metric")]
+    return both.withColumn("regressed", F.col("percent") > bound)

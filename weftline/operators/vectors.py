@@ -93,9 +93,9 @@ def _partners(k: int | None, least: float | None, ordered: bool):
     return run
 
 
-def _joined(vectors: DataFrame, k: int | None, least: float | None, ordered: bool, id_col: str, vec_col: str, block: int) -> DataFrame:
+def _joined(vectors: DataFrame, k: int | None, least: float | None, ordered: bool, id_col: str, vec_col: str, block: int, queries: DataFrame | None = None) -> DataFrame:
     blocks = _blocks(vectors, id_col, vec_col, block)
-    a = blocks.select(F.col("ids").alias("a_ids"), F.col("rows").alias("a_rows"))
+    a = (_blocks(queries, id_col, vec_col, block) if queries is not None else blocks).select(F.col("ids").alias("a_ids"), F.col("rows").alias("a_rows"))
     b = blocks.select(F.col("ids").alias("b_ids"), F.col("rows").alias("b_rows"))
     return a.crossJoin(b.hint("shuffle_replicate_nl")).mapInArrow(_partners(k, least, ordered), "src bigint, dst bigint, similarity double")
 
@@ -105,16 +105,16 @@ def _best(pairs: DataFrame, m: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= m).select("src", "dst", "similarity", "rank")
 
 
-def neighbour_graph(vectors: DataFrame, m: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(src, dst, similarity, rank): each vector's ``m`` nearest others."""
-    return _best(_joined(vectors, m, None, False, id_col, vec_col, block), m)
+def neighbour_graph(vectors: DataFrame, m: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """(src, dst, similarity, rank): the ``m`` nearest others of each of ``queries``, rows of ``vectors``; of each vector by default."""
+    return _best(_joined(vectors, m, None, False, id_col, vec_col, block, queries), m)
 
 
-def similar_pairs(vectors: DataFrame, least: float, m: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Pairs more similar than ``least``: all (src < dst), or each vector's ``m`` best."""
+def similar_pairs(vectors: DataFrame, least: float, m: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """Pairs more similar than ``least``: all (src < dst), or the ``m`` best of each of ``queries``, of each vector by default."""
     if m is None:
         return _joined(vectors, None, least, True, id_col, vec_col, block)
-    return _best(_joined(vectors, m, least, False, id_col, vec_col, block), m)
+    return _best(_joined(vectors, m, least, False, id_col, vec_col, block, queries), m)
 
 
 def prune(links: DataFrame, m: int) -> DataFrame:

@@ -12,11 +12,11 @@ MOST_BYTES = 10 * 1024 * 1024
 PART = "ARRAY<STRUCT<type: STRING, text: STRING, name: STRING, input: STRING, id: STRING, tool_use_id: STRING, content: STRING, is_error: BOOLEAN>>"
 
 
-def read_conversations(spark: SparkSession, *paths: str, recursive: bool = False, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+def read_conversations(spark: SparkSession, *paths: str, recursive: bool = False, most_bytes: int | None = None) -> DataFrame:
     """Messages of all files: conversation_id, file, seq, ts, kind, text, tools, results.
 
     ``message.content`` is a text, or a list of parts whose texts are joined. ``seq`` orders a file's messages
-    by timestamp and place. Files over ``most_bytes`` are left out.
+    by timestamp and place. All files are read, whatever their size; with ``most_bytes`` (such as ``MOST_BYTES``) larger ones are left out.
     """
     raw = spark.read.schema(MESSAGE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", str(recursive).lower()).json(list(paths))
     raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))

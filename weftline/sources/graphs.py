@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.storage import read_text, write_text
 
 VERSION = 1
 JSON_GRAPH = """entities ARRAY<STRUCT<name: STRING, type: STRING, description: STRING, file_path: STRING, language: STRING>>,
@@ -26,12 +31,16 @@ def checksum(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def save_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("graph_name").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("graph_name").parquet(f"{path}/edges")
+    write_text(nodes.sparkSession, f"{path}/schemas.json", json.dumps([df.schema.json() for df in (nodes, edges)]))
     checksum(nodes, edges).withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/checksums")
 
 
 def load_graphs(spark: SparkSession, path: str, verify: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges), checked against what was written."""
-    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    schemas = [T.StructType.fromJson(json.loads(x)) for x in json.loads(read_text(spark, f"{path}/schemas.json") or "[]")]
+    if len(schemas) != 2:
+        raise CorruptGraph(f"{path} has no schemas")
+    nodes, edges = (spark.read.schema(s).parquet(f"{path}/{t}") for s, t in zip(schemas, ("nodes", "edges")))
     written = spark.read.parquet(f"{path}/checksums")
     if not written.filter(F.col("version") != VERSION).isEmpty():
         raise CorruptGraph(f"{path} isn't of version {VERSION}")

@@ -48,12 +48,12 @@ links AS (
 
 
 def as_edits(events: DataFrame) -> DataFrame:
-    """Events as edits of shared documents: a document is a day, agents are users in four groups."""
+    """Events as edits of shared documents: a document is an hour, agents are users in four groups."""
     agent = F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string"))
     return events.select(
         F.col("event_id").alias("op_id"),
         agent.alias("agent_id"),
-        F.date_format("ts", "yyyy-MM-dd").alias("document"),
+        F.date_format("ts", "yyyy-MM-dd HH").alias("document"),
         F.element_at(F.array(*[F.lit(x) for x in ("insert", "delete", "modify")]), (F.col("event_id") % 3 + 1).cast("int")).alias("kind"),
         (F.col("event_id") * 7 % 101).alias("offset"),
         F.col("event_type").alias("content"),
