@@ -10,7 +10,7 @@ from weftline.streaming import pipelines, stateful
 
 from .registry import query
 
-# -- versions ---------------------------------------------------------------------------------------------
+# -- versions -----
 
 _CHANGES = "changes AS (SELECT event_id AS seq, ts, user_id AS path, props AS content FROM events)"
 _AT = "2024-01-15 00:00:00"
@@ -78,24 +78,30 @@ def retrieve_with_history(spark, d):
     return rows.select(F.col("path").alias("key"), F.lit(True).alias("exists"), F.col("h")[0]["content"].alias("value"), F.array_join(F.transform("h", lambda x: x["seq"].cast("string")), ",").alias("history"))
 
 
-# -- conversations ----------------------------------------------------------------------------------------
+# -- conversations -----
 
+_TEXTS = ["please implement and test it", "now add a button", "thanks", "fix the build", "optimize what you create"]
+_SAID = f"""said AS (SELECT o_custkey AS conv_id, o_orderkey AS turn, CASE WHEN o_orderkey % 3 = 0 THEN 'assistant' ELSE 'user' END AS role, list_extract({_TEXTS}, CAST(o_orderkey % 5 + 1 AS INT)) AS text FROM orders)"""
 _WORDS = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN '{w}'" for w in conversations.TASK_WORDS) + " END"
-_ENTITIES = f"""found AS (
-  SELECT conv_id AS conversation_id, 'task' AS entity_type, 'task_' || keyword || '_' || turn AS name, left(text, 200) AS content, turn, conv_id * 10000 + turn * 2 AS entity_id
-  FROM (SELECT *, {_WORDS} AS keyword FROM conversations WHERE role = 'user') WHERE keyword IS NOT NULL
-  UNION ALL SELECT conv_id, 'file', 'reply' || turn || '.md', NULL, turn, conv_id * 10000 + turn * 2 + 1 FROM conversations WHERE role = 'assistant')"""
+_TYPES = ["task", "file", "decision", "error_event"]
+_ENTITIES = f"""found AS (SELECT l_orderkey AS conversation_id, list_extract({_TYPES}, CAST(l_suppkey % 4 + 1 AS INT)) AS entity_type, 'n' || CAST(l_partkey AS VARCHAR) AS name,
+  CASE WHEN l_suppkey % 8 < 4 THEN 'implement it' ELSE 'look' END AS content, CAST(l_linenumber AS BIGINT) AS turn, l_orderkey * 10 + l_linenumber AS entity_id FROM lineitem)"""
 
 
 def _messages(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", F.col("role").alias("kind"), "text")
 
 
+def _said(spark, d):
+    """Orders as messages: a customer is a conversation."""
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("conversation_id"), F.col("o_orderkey").alias("turn"), F.when(F.col("o_orderkey") % 3 == 0, "assistant").otherwise("user").alias("kind"), text.alias("text"))
+
+
 def _entities(spark, d):
-    messages = _messages(spark, d)
-    tasks = conversations.task_entities(messages).drop("keyword").withColumn("entity_id", F.col("conversation_id") * 10000 + F.col("turn") * 2)
-    replies = messages.filter("kind = 'assistant'").select("conversation_id", F.lit("file").alias("entity_type"), F.concat(F.lit("reply"), F.col("turn").cast("string"), F.lit(".md")).alias("name"), F.lit(None).cast("string").alias("content"), "turn", (F.col("conversation_id") * 10000 + F.col("turn") * 2 + 1).alias("entity_id"))
-    return tasks.unionByName(replies)
+    """Order lines as entities: an order is a conversation, a line a turn."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), kind.alias("entity_type"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_suppkey") % 8 < 4, "implement it").otherwise("look").alias("content"), F.col("l_linenumber").cast("bigint").alias("turn"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity_id"))
 
 
 _NEXT = """next AS (SELECT conversation_id, entity_id AS from_id, to_id, 'temporal_next' AS relationship_type, 1.0::DOUBLE AS strength, turn FROM (SELECT *, lead(entity_id) OVER w AS to_id, lead(turn) OVER w AS nt FROM found
@@ -104,9 +110,9 @@ _RANGE = """made AS (SELECT a.conversation_id, a.entity_id AS from_id, b.entity_
   ON a.conversation_id = b.conversation_id AND a.entity_type = 'task' AND b.entity_type = 'file' AND b.turn - a.turn BETWEEN 1 AND 3)"""
 
 
-@query(f"WITH {_ENTITIES} SELECT conversation_id, turn, name, content FROM found WHERE entity_type = 'task'")
+@query(f"WITH {_SAID} SELECT conv_id AS conversation_id, turn, 'task_' || keyword || '_' || turn AS name, left(text, 200) AS content FROM (SELECT *, {_WORDS} AS keyword FROM said WHERE role = 'user') WHERE keyword IS NOT NULL")
 def task_keyword(spark, d):
-    return conversations.task_entities(_messages(spark, d)).select("conversation_id", "turn", "name", "content")
+    return conversations.task_entities(_said(spark, d)).select("conversation_id", "turn", "name", "content")
 
 
 @query(f"WITH {_ENTITIES}, {_NEXT} SELECT * FROM next")
@@ -166,9 +172,11 @@ def analysis_cache_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", conversations.cache_key(F.col("text")).alias("cache_key"))
 
 
-_ALL_LINKS = f"{_ENTITIES}, {_NEXT}, {_RANGE}, links AS (SELECT * FROM next UNION ALL SELECT * FROM made)"
+_SAME = """same AS (SELECT a.conversation_id, a.entity_id AS from_id, b.entity_id AS to_id, 'modifies' AS relationship_type, 0.7::DOUBLE AS strength, a.turn FROM found a JOIN found b
+  ON a.conversation_id = b.conversation_id AND a.turn = b.turn AND a.entity_id <> b.entity_id AND a.entity_type = 'file' AND b.entity_type = 'file')"""
+_ALL_LINKS = f"{_ENTITIES}, {_NEXT}, {_RANGE}, {_SAME}, links AS (SELECT * FROM next UNION ALL SELECT * FROM made UNION ALL SELECT * FROM same)"
 _CORE = "core AS (SELECT from_id, to_id, 'creates' AS edge_type, 1.0::DOUBLE AS weight FROM links WHERE relationship_type = 'creates')"
-_SEMANTIC = "semantic AS (SELECT from_id, to_id, 'temporal' AS edge_type, strength AS weight FROM links WHERE relationship_type = 'temporal_next')"
+_SEMANTIC = "semantic AS (SELECT from_id, to_id, CASE relationship_type WHEN 'modifies' THEN 'modifies' ELSE 'temporal' END AS edge_type, strength AS weight FROM links WHERE relationship_type <> 'creates')"
 
 
 def _links(spark, d):
@@ -188,10 +196,10 @@ def graph_medium(spark, d):
     return graph_build.build(*_links(spark, d), "medium")[1]
 
 
-@query(f"""WITH {_ENTITIES}, nodes AS (SELECT * FROM found WHERE entity_type IN ('file', 'task', 'function'))
-SELECT entity_type AS node_type, count(*) AS n FROM nodes GROUP BY entity_type""")
+@query(f"""WITH {_ENTITIES}, nodes AS (SELECT * FROM found WHERE entity_type IN ('file', 'task', 'error_event') OR (entity_type = 'decision' AND content LIKE '%implement%'))
+SELECT entity_type AS node_type, name, count(*) AS n FROM nodes GROUP BY entity_type, name""")
 def graph_nodes(spark, d):
-    return graph_build.nodes(_entities(spark, d), "dense").groupBy("node_type").agg(F.count("*").alias("n"))
+    return graph_build.nodes(_entities(spark, d), "dense").groupBy("node_type", "name").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_LINES} SELECT DISTINCT a.entity_id AS from_id, b.entity_id AS to_id, 'similar' AS edge_type, 0.6::DOUBLE AS weight
@@ -200,7 +208,7 @@ def cooccurrence(spark, d):
     return graph_build.cooccurrence(_line_entities(spark, d))
 
 
-@query("""WITH p AS (SELECT a.s_nationkey, a.s_suppkey AS from_id, b.s_suppkey AS to_id, a.s_name AS x, b.s_name AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+@query("""WITH p AS (SELECT a.s_nationkey, a.s_suppkey AS from_id, b.s_suppkey AS to_id, a.s_name AS x, b.s_name AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
 c AS (SELECT *, len(list_filter(range(1, CAST(least(length(x), length(y)) + 1 AS BIGINT)), lambda i: left(x, i) = left(y, i))) + len(list_filter(range(1, CAST(least(length(x), length(y)) + 1 AS BIGINT)), lambda i: right(x, i) = right(y, i))) AS common FROM p)
 SELECT from_id, to_id, 'similar' AS edge_type, round(CASE WHEN x = y THEN 1.0 ELSE 2.0 * common / (length(x) + length(y)) END, 6) AS weight FROM c WHERE round(CASE WHEN x = y THEN 1.0 ELSE 2.0 * common / (length(x) + length(y)) END, 6) > 0.6""")
 def name_similarity(spark, d):
@@ -221,8 +229,8 @@ def hourly_cluster_links(spark, d):
     return graph_build.hourly_links(_timed(spark, d))
 
 
-@query(f"""WITH k AS (SELECT event_id, {_SECONDS} AS s, user_id, event_type FROM events), n AS (SELECT event_id AS from_id, lead(event_id) OVER w AS to_id, lead(s) OVER w - s AS gap FROM k WINDOW w AS (PARTITION BY user_id, event_type ORDER BY s, event_id))
-SELECT from_id, to_id, 'temporal' AS edge_type, round(1.0 / greatest(1.0, gap / 3600.0), 6) AS weight FROM n WHERE to_id IS NOT NULL AND gap > 0""")
+@query(f"""WITH k AS (SELECT event_id, {_SECONDS} AS s, user_id, event_type FROM events)
+SELECT a.event_id AS from_id, b.event_id AS to_id, 'temporal' AS edge_type, round(1.0 / greatest(1.0, (b.s - a.s) / 3600.0), 6) AS weight FROM k a JOIN k b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.s < b.s""")
 def evolution_edges(spark, d):
     return graph_build.evolution_edges(_timed(spark, d))
 
@@ -233,7 +241,7 @@ def synthetic_dense_edges(spark, d):
     return graph_build.densify(found.select("entity_id").distinct(), graph_build.core_edges(links), 1000)
 
 
-# -- shared documents -------------------------------------------------------------------------------------
+# -- shared documents -----
 
 _EDITS = """edits AS (SELECT event_id AS op_id, 'a' || CAST(user_id % 4 AS VARCHAR) AS agent_id, strftime(ts, '%Y-%m-%d %H') AS document, list_extract(['insert', 'delete', 'modify'], CAST(event_id % 3 + 1 AS INT)) AS kind,
   event_id * 7 % 101 AS place, event_type AS content, event_id % 5 AS c0, event_id % 7 AS c1, event_id % 3 AS c2, ts FROM events)"""
@@ -243,12 +251,13 @@ _PAIRED = f"""{_EDITS}, pairs AS (SELECT a.document, a.op_id AS op_a, b.op_id AS
 
 
 def _edits(spark, d):
-    return as_edits(table(spark, d, "events")).withColumn("document", F.date_format("ts", "yyyy-MM-dd HH"))
+    return as_edits(table(spark, d, "events"))
 
 
-@query(f"WITH {_PAIRED} SELECT document, op_a, op_b, CASE WHEN before THEN 'before' WHEN after THEN 'after' ELSE 'concurrent' END AS relation FROM pairs")
+@query(f"""WITH {_EDITS}, l AS (SELECT document, op_id AS op_a, c0, c1, c2, lead(op_id) OVER w AS op_b, lead(c0) OVER w AS d0, lead(c1) OVER w AS d1, lead(c2) OVER w AS d2 FROM edits WINDOW w AS (PARTITION BY document ORDER BY op_id))
+SELECT document, op_a, op_b, CASE WHEN c0 = d0 AND c1 = d1 AND c2 = d2 THEN 'concurrent' WHEN c0 <= d0 AND c1 <= d1 AND c2 <= d2 THEN 'before' WHEN c0 >= d0 AND c1 >= d1 AND c2 >= d2 THEN 'after' ELSE 'concurrent' END AS relation FROM l WHERE op_b IS NOT NULL""")
 def happens_before(spark, d):
-    return collaboration.causal_pairs(_edits(spark, d))
+    return collaboration.causal_steps(_edits(spark, d))
 
 
 @query(f"""WITH {_PAIRED} SELECT document, op_a, op_b, CASE WHEN ta > tb THEN op_a ELSE op_b END AS winner FROM pairs WHERE NOT before AND NOT after
@@ -264,7 +273,7 @@ def lww_winner(spark, d):
 
 @query()
 def crdt_fold(spark, d):
-    return collaboration.replayed(_edits(spark, d), ["op_id"])
+    return collaboration.applied(_edits(spark, d))
 
 
 @query(f"WITH {_EDITS} SELECT document, row_number() OVER (PARTITION BY document ORDER BY ts DESC, op_id DESC) AS k, op_id, agent_id, kind, content AS preview FROM edits QUALIFY k <= 10")
@@ -277,7 +286,7 @@ def collaboration_stats(spark, d):
     return collaboration.stats(_edits(spark, d))
 
 
-# -- operations -------------------------------------------------------------------------------------------
+# -- operations -----
 
 _OPS = "ops AS (SELECT event_id AS seq, ts, 'agent' || CAST(user_id AS VARCHAR) AS agent_id, event_type AS op, value AS latency_ms FROM events)"
 
@@ -414,7 +423,7 @@ def auth_outcomes(spark, d):
     return monitoring.outcomes(_ops(spark, d), ["agent_id"], F.col("op") != "error")
 
 
-# -- limits -----------------------------------------------------------------------------------------------
+# -- limits -----
 
 
 @query(f"WITH {_OPS} SELECT seq, op AS key, row_number() OVER (PARTITION BY op, date_trunc('hour', ts) ORDER BY seq) AS in_hour, row_number() OVER (PARTITION BY op, date_trunc('hour', ts) ORDER BY seq) <= 3 AS allowed FROM ops")

@@ -10,6 +10,8 @@ from weftline.functions import text as tx
 from weftline.operators import fusion, graph, lexical, vectors
 from weftline.sources.tables import EDGES_SQL, as_edges, table
 
+from weftline.storage import file_state, materialise
+
 from .registry import query
 
 ASKED = "estion heor atwh"
@@ -36,9 +38,26 @@ found AS (SELECT doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5)) * tf
   array_to_string(list_sort(list(term)), ',') AS matching_terms FROM tf JOIN df USING (term) JOIN q USING (term), corpus GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {n})"""
 
 
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def _index(spark, d) -> lexical.Index:
+    """The stored index of a folder's documents: built once an application, and again if the table is another."""
+    key = (spark.sparkContext.applicationId, d, file_state(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build_index(table(spark, d, "documents"))
+    return _INDEXES[key]
+
+
+@query(f"WITH {_INDEX} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM idx) GROUP BY doc_id, term")
+def bm25_postings(spark, d):
+    """All postings of the stored index; the first query over it builds it."""
+    return _index(spark, d).postings.select("doc_id", "term", "tf")
+
+
 @query(f"WITH {_lexical_sql(ASKED, 10)} SELECT * FROM found")
 def bm25_top10(spark, d):
-    return lexical.search(table(spark, d, "documents"), ASKED, 10).withColumn("matching_terms", F.array_join("matching_terms", ","))
+    return lexical.search_index(_index(spark, d), ASKED, 10).withColumn("matching_terms", F.array_join("matching_terms", ","))
 
 
 @query(f"""
@@ -51,24 +70,24 @@ scored AS (SELECT query_id, doc_id, round(sum(times * ln((n - df + 0.5) / (df +
   FROM tf JOIN df USING (term) JOIN asked USING (term), corpus GROUP BY query_id, doc_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored QUALIFY rank <= 5""")
 def bm25_batch(spark, d):
-    return lexical.batch_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return lexical.batch_search(_index(spark, d), table(spark, d, "benchmark"))
 
 
 @query(f"""
 WITH {_INDEX} SELECT count(*) AS n_docs, CAST(sum(length) AS BIGINT) AS total_terms, round(avg(length), 6) AS avg_length,
   (SELECT count(*) FROM (SELECT DISTINCT unnest(tokens) FROM idx)) AS n_terms FROM idx""")
 def bm25_stats(spark, d):
-    return lexical.corpus_stats(table(spark, d, "documents"))
+    return lexical.corpus_stats(_index(spark, d))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, length AS n_tokens, len(list_distinct(tokens)) AS n_distinct FROM idx")
 def token_counts(spark, d):
-    return lexical.documents_index(table(spark, d, "documents")).select("doc_id", F.col("length").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
+    return lexical.term_counts(table(spark, d, "documents")).select("doc_id", F.col("length").alias("n_tokens"), F.col("n_terms").alias("n_distinct"))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, kind AS content_type, weight FROM idx")
 def content_type(spark, d):
-    return lexical.documents_index(table(spark, d, "documents")).select("doc_id", "content_type", "weight")
+    return lexical.typed(table(spark, d, "documents")).select("doc_id", "content_type", "weight")
 
 
 _LINES = "list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9)))"
@@ -160,7 +179,7 @@ def embed_candidates(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.worth_embedding(F.col("text")).alias("embed"))
 
 
-# -- vectors ----------------------------------------------------------------------------------------------
+# -- vectors -----
 
 _VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE id = 0)"
 
@@ -186,17 +205,23 @@ def knn_matryoshka_rerank(spark, d):
     return vectors.coarse_to_fine(_with_example(spark, d), F.col("example"), 10)
 
 
-_PAIRS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id <> b.id)"
+_PAIRS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id)"
+
+
+def _asked(search, spark, d, *args):
+    """Every vector whose number is divisible by 50, against all vectors."""
+    rows = table(spark, d, "embeddings")
+    return search(rows, *args, queries=rows.filter("vec_id % 50 = 0"))
 
 
 @query(f"WITH {_PAIRS} SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS rank FROM p QUALIFY rank <= 5")
 def knn_graph(spark, d):
-    return vectors.neighbour_graph(table(spark, d, "embeddings"), 5)
+    return _asked(vectors.neighbour_graph, spark, d, 5)
 
 
-@query(f"WITH {_PAIRS} SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS rank FROM p WHERE similarity > 0.5 QUALIFY rank <= 8")
+@query(f"WITH {_PAIRS} SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS rank FROM p WHERE similarity > 0.2 QUALIFY rank <= 20")
 def knn_threshold_pairs(spark, d):
-    return vectors.similar_pairs(table(spark, d, "embeddings"), 0.5, 8)
+    return _asked(vectors.similar_pairs, spark, d, 0.2, 20)
 
 
 @query(f"""WITH {_VECTORS}, n AS (SELECT count(*) AS total, min(id) AS least FROM v)
@@ -209,10 +234,10 @@ def knn_modulo_sample(spark, d):
 @query(f"""WITH {_PAIRS}, g AS (SELECT src, dst FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) <= 5)
 SELECT (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g)) AS nodes, count(*) AS links, round(count(*) / (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g)), 6) AS avg_links FROM g""")
 def knn_graph_stats(spark, d):
-    return vectors.graph_stats(vectors.neighbour_graph(table(spark, d, "embeddings"), 5))
+    return vectors.graph_stats(_asked(vectors.neighbour_graph, spark, d, 5))
 
 
-# -- graphs -----------------------------------------------------------------------------------------------
+# -- graphs -----
 
 _HOPS = """RECURSIVE {edges}, reach(node, depth) AS (SELECT CAST({seed} AS BIGINT), 0 UNION SELECT l.dst, r.depth + 1 FROM reach r JOIN links l ON l.src = r.node WHERE r.depth < {most}),
 hops AS (SELECT node, min(depth) AS distance FROM reach GROUP BY node)"""
@@ -223,7 +248,7 @@ paths AS (SELECT b.node, b.dist, CASE WHEN b.dist > 0 THEN min(a.node) END AS pr
 _WALK = """walk(target, dist, path, head) AS (SELECT node, dist, CAST(node AS VARCHAR), pred FROM paths WHERE {goal}
   UNION ALL SELECT w.target, w.dist, CAST(w.head AS VARCHAR) || '>' || w.path, p.pred FROM walk w JOIN paths p ON p.node = w.head WHERE w.head IS NOT NULL)
 SELECT target, dist, path FROM walk WHERE head IS NULL"""
-SEED, MOST, BOUND = 1, 3, 8
+SEED, MOST, BOUND = 1, 3, 12
 
 
 def _edges(spark, d):
@@ -248,44 +273,29 @@ def sssp_bounded(spark, d):
     return graph.shortest_paths(_edges(spark, d), _node(spark, SEED), BOUND)
 
 
-@query(f"WITH {_SSSP.format(edges=EDGES_SQL, seed=SEED, bound=BOUND)}, {_WALK.format(goal='node = 15')}")
-def shortest_path(spark, d):
-    return _path_text(graph.shortest_path(_edges(spark, d), SEED, 15, BOUND))
-
-
-@query(f"WITH {_SSSP.format(edges=EDGES_SQL, seed=SEED, bound=BOUND)}, {_WALK.format(goal='node <= 200')}")
-def multi_target(spark, d):
-    return _path_text(graph.multi_target(_edges(spark, d), SEED, spark.range(1, 201).withColumnRenamed("id", "node"), BOUND))
+@query(f"WITH {_SSSP.format(edges=EDGES_SQL, seed=SEED, bound=BOUND)}, {_WALK.format(goal='true')}")
+def bounded_paths(spark, d):
+    """Shortest paths to all nodes within the bound."""
+    return _path_text(graph.multi_target(_edges(spark, d), SEED, graph.nodes_of(_edges(spark, d)), BOUND))
 
 
 @query()
-def shortest_path_unbounded(spark, d):
-    """``shortest_path`` however far the target is. Recursive SQL would list every walk."""
+def shortest_path(spark, d):
+    """However far the target is. Recursive SQL would list every walk."""
     return _path_text(graph.shortest_path(_edges(spark, d), SEED, 15))
 
 
 @query()
-def multi_target_unbounded(spark, d):
-    """``multi_target`` however far the targets are."""
-    return _path_text(graph.multi_target(_edges(spark, d), SEED, spark.range(1, 201).withColumnRenamed("id", "node")))
-
-
-@query(f"WITH {_HOPS.format(edges=EDGES_SQL, seed=SEED, most=2)} SELECT node, distance FROM hops WHERE node <= 500")
-def reachability(spark, d):
-    return graph.reachable(_edges(spark, d), _node(spark, SEED), spark.range(1, 501).withColumnRenamed("id", "node"), 2)
-
-
-@query()
-def multi_target_all(spark, d):
+def multi_target(spark, d):
     """Shortest paths to all nodes of the graph, however far."""
-    edges = _edges(spark, d)
+    edges, _ = materialise(_edges(spark, d), "edges")
     return _path_text(graph.multi_target(edges, SEED, graph.nodes_of(edges)))
 
 
-@query()
-def reachability_all(spark, d):
-    """``reachability`` with all nodes of the graph as targets."""
-    edges = _edges(spark, d)
+@query(f"WITH {_HOPS.format(edges=EDGES_SQL, seed=SEED, most=2)} SELECT node, distance FROM hops")
+def reachability(spark, d):
+    """All nodes of the graph as targets."""
+    edges, _ = materialise(_edges(spark, d), "edges")
     return graph.reachable(edges, _node(spark, SEED), graph.nodes_of(edges), 2)
 
 
@@ -345,14 +355,14 @@ def synthetic_graph(spark, d):
     return graph.synthetic(spark, 1000, 4, "scale_free")
 
 
-# -- fusion -----------------------------------------------------------------------------------------------
+# -- fusion -----
 
 _LEGS = f"""lex AS (SELECT doc_id, score FROM found), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
 vec AS (SELECT a.id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a, v b WHERE b.id = 0 ORDER BY similarity DESC, doc_id LIMIT 20)"""
 
 
 def _lexical_leg(spark, d):
-    return lexical.search(table(spark, d, "documents"), ASKED, 20).select("doc_id", "score")
+    return lexical.search_index(_index(spark, d), ASKED, 20).select("doc_id", "score")
 
 
 def _vector_leg(spark, d):
