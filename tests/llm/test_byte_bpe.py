@@ -1,11 +1,13 @@
+import base64
 import random
+import time
 
 import pytest
 import tiktoken
 from edge_cases import EDGES
 
 from weftline.llm import byte_bpe, queries
-from weftline.llm.byte_bpe import Coder, Vocabulary, decode, encode, round_trip
+from weftline.llm.byte_bpe import Coder, Vocabulary, decode, encode, round_trip, token_counts
 from oracle import SMALL
 
 
@@ -35,13 +37,36 @@ def test_is_the_tokenizer(vocabulary, reference, monkeypatch):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(200)]
     texts += ["a" * 999, "ab" * 500, "aaab" * 200, "-" * 3000, " " * 700, "".join(rng.choice("etaoin") for _ in range(2500)), "<|endoftext|> it's", "", None]
     want = [reference.encode_ordinary(t) if t else [] for t in texts]
-    for long in (200, 3, 40):
-        monkeypatch.setattr(byte_bpe, "LONG", long)
+    texts += ["../" * 400, "=-" * 333, "abcabcd" * 100, "0" * 1000, "é" * 500, "x" + "na" * 300]
+    want = [reference.encode_ordinary(t) if t else [] for t in texts]
+    for piece, tail in ((64, 16), (100, 40)):
+        monkeypatch.setattr(byte_bpe, "PIECE", piece)
+        monkeypatch.setattr(byte_bpe, "TAIL", tail)
         coder = Coder(vocabulary)
         assert encoded(coder, texts) == want
         assert encoded(coder, texts) == want  # words known by now
 
 
+@pytest.mark.parametrize("kind", ["letter", "letters", "base64", "dots", "spaces"])
+def test_very_long_words(vocabulary, reference, kind):
+    """Words without a break of 1 to 5 MB, within the memory bound and a minute."""
+    rng = random.Random(4)
+    text = {
+        "letter": lambda: "a" * 5_000_000,
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)),
+        "base64": lambda: base64.b64encode(rng.randbytes(750_000)).decode(),
+        "dots": lambda: "../" * 700_001,
+        "spaces": lambda: "x" + " " * 1_000_003,
+    }[kind]()
+    began = time.perf_counter()
+    (tokens,) = encoded(Coder(vocabulary), [text])
+    assert time.perf_counter() - began < 60
+    some = text[:60_000]
+    want = reference.encode_ordinary(some)
+    assert tokens[: len(want) - 200] == want[:-200]
+    assert encoded(Coder(vocabulary), [some]) == [want]
+
+
 def test_another_vocabulary(reference):
     path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
     v = Vocabulary(path)
@@ -61,6 +86,8 @@ def test_edges(edges, nothing, reference):
     assert sorted((repr((r["doc_id"], r["token_ids"])) for r in rows)) == sorted(repr((e[0], w)) for e, w in zip(EDGES, want))
     back = decode(encode(edges)).collect()
     assert sorted(repr((r["doc_id"], r["text"])) for r in back) == sorted(repr((e[0], e[1])) for e in EDGES)
+    counted = {repr((r["doc_id"], r["n_tokens"])) for r in token_counts(edges).collect()}
+    assert counted == {repr((e[0], None if w is None else len(w))) for e, w in zip(EDGES, want)}
     assert encode(nothing).count() == 0 and decode(encode(nothing)).count() == 0 and round_trip(nothing).count() == 0
 
 
