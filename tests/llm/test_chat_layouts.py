@@ -20,6 +20,8 @@ RECORDS = {
     "question": ({"answer": 42, "question": "q"}, "question_answer", [(0, "user", "q"), (1, "assistant", "42")]),
     "row": ({"turn": 7, "role": "tool", "text": "t"}, "turn_row", [(7, "tool", "t")]),
     "missing_content": ({"messages": [{"role": "user", "content": "u"}, {"role": "assistant"}]}, "messages", [(0, "user", "u"), (1, "assistant", None)]),
+    "messages_and_system": ({"system": "s", "messages": [{"role": "user", "content": "u"}]}, "messages_system", [(0, "system", "s"), (1, "user", "u")]),
+    "from_and_system": ({"system": "s", "conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]}, "conversations_system", [(0, "system", "s"), (1, "user", "u"), (2, "assistant", "a")]),
     "mixed": ({"prompt": "p", "response": "r", "question": "q"}, "unknown", [(None, None, None)]),
     "nested_elsewhere": ({"meta": {"prompt": "p"}, "response": "r"}, "unknown", [(None, None, None)]),
     "empty_list": ({"messages": []}, "unknown", [(None, None, None)]),

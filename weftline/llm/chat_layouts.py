@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import col
+
 ROLES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatbot": "assistant", "developer": "system", "function": "tool", "observation": "tool"}
 
 
@@ -31,7 +33,8 @@ ROLES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assist
 class Layout:
     """``turns``: (role, paths whose texts make the content); or ``each`` with the paths of an element's role and content.
 
-    A role that begins with $ is a path. ``index``: the path of the turn's number, else turns count from 0.
+    A role that begins with $ is a path. ``index``: the path of the turn's number, else turns count from 0. ``before``: turns ahead of
+    those of ``each``.
     """
 
     name: str
@@ -41,6 +44,7 @@ class Layout:
     role: str = ""
     content: str = ""
     index: str | None = None
+    before: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -60,7 +64,9 @@ def _pairs(name: str, user: tuple[str, ...], assistant: str) -> list[Layout]:
 LAYOUTS: tuple[Layout, ...] = (
     Layout("turn_row", ("turn", "role", "text"), (("$role", ("text",)),), index="turn"),
     Layout("messages", ("messages[].role", "messages[].content"), each="messages", role="role", content="content"),
+    Layout("messages_system", ("messages[].role", "messages[].content", "system"), each="messages", role="role", content="content", before=(("system", ("system",)),)),
     Layout("conversations", ("conversations[].from", "conversations[].value"), each="conversations", role="from", content="value"),
+    Layout("conversations_system", ("conversations[].from", "conversations[].value", "system"), each="conversations", role="from", content="value", before=(("system", ("system",)),)),
     *_pairs("prompt_response", ("prompt",), "response"),
     *_pairs("prompt_completion", ("prompt",), "completion"),
     *_pairs("question_answer", ("question",), "answer"),
@@ -109,15 +115,16 @@ def _turn(index: F.Column, role: F.Column, content: F.Column) -> F.Column:
 
 
 def _turns(v: F.Column, layout: Layout) -> F.Column:
-    if layout.each:
-        return F.transform(_get(v, layout.each, "array<variant>"), lambda m, i: _turn(i, canonical_role(_get(m, layout.role, "string")), _text(_get(m, layout.content))))
     out = []
-    for n, (role, paths) in enumerate(layout.turns):
+    for n, (role, paths) in enumerate(layout.before or layout.turns):
         said = [_text(_get(v, p)) for p in paths]
         own = canonical_role(_get(v, role[1:], "string")) if role.startswith("$") else F.lit(role)
         content = said[0] if len(said) == 1 else F.concat_ws("\n\n", *[F.when(x != "", x) for x in said])
         out.append(_turn(_get(v, layout.index, "bigint") if layout.index else F.lit(n), own, content))
-    return F.array(*out)
+    if not layout.each:
+        return F.array(*out)
+    told = F.transform(_get(v, layout.each, "array<variant>"), lambda m, i: _turn(i + len(out), canonical_role(_get(m, layout.role, "string")), _text(_get(m, layout.content))))
+    return F.concat(F.array(*out), told) if out else told
 
 
 def canonical_turns(records: DataFrame, record: F.Column, keep: list[str], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -128,7 +135,7 @@ def canonical_turns(records: DataFrame, record: F.Column, keep: list[str], layou
     if len({x.fingerprint for x in layouts}) < len(layouts):
         raise ValueError("two layouts have the same paths")
     carried = {f"k{i}": c for i, c in enumerate(keep)}
-    rows = records.select(*[F.col(c).alias(k) for k, c in carried.items()], record.alias("v"))
+    rows = records.select(*[col(c).alias(k) for k, c in carried.items()], record.alias("v"))
     if dict(rows.dtypes)["v"] != "variant":
         rows = rows.withColumn("v", F.try_parse_json("v"))
     marked = rows.withColumn("fingerprint", F.coalesce(record_fingerprint(F.col("v"), layouts), F.lit(fingerprint_of(()))))
@@ -143,7 +150,7 @@ def canonical_turns(records: DataFrame, record: F.Column, keep: list[str], layou
 
 def conversation_turns(table: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, layout, fingerprint, turn, role, content) of a table whose rows are records, whatever their columns."""
-    return canonical_turns(table, F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in table.columns])), ["conv_id"], layouts)
+    return canonical_turns(table, F.to_variant_object(F.struct(*[col(c) for c in table.columns])), ["conv_id"], layouts)
 
 
 def render(turns: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -15,7 +15,8 @@ of its words are foreign: not even a 3-gram of theirs is known.
 Nulls and corner cases. A null, empty or wordless text gives ``pred_lang`` 'und' with null scores, not
 accepted. Rows with a null language or text teach nothing. Ties go to the first language by name. With one
 language the margin is null and does not reject; with no labelled row nothing is accepted. Rows that repeat
-an identifier are judged each on its own; null identifiers are carried. Other columns are not looked at.
+an identifier are judged each on its own; null identifiers are carried, and identifiers of any type. Other
+columns are carried by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.storage import drop_path, materialise
+from weftline.storage import col, drop_path, materialise
 
 from . import bytewords as bw
 
@@ -81,7 +82,7 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, min_count: int = MIN_COUNT, longest: int = LONGEST) -> Model:
     """Fit on ``train_docs`` labelled documents of each language."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    named = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
     chosen, path = materialise(named.select("lang", "id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_docs).select("lang", "id").distinct(), "train-ids")
     found = named.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
@@ -160,10 +161,10 @@ def _classify(model: Model):
 
 def _judged(docs: DataFrame, model: Model, text_col: str, carried: dict[str, str]) -> DataFrame:
     """``carried`` columns (new name -> name), then pred, score, margin, words, foreign."""
-    lists = docs.select(F.lit(0).alias("none"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("list"), *[F.col(c).alias(new) for new, c in carried.items()])
+    lists = docs.select(F.lit(0).alias("none"), F.regexp_extract_all(F.lower(col(text_col)), F.lit(WORD), F.lit(0)).alias("list"), *[col(c).alias(new) for new, c in carried.items()])
     types = dict(lists.dtypes)
     schema = ", ".join(f"{new} {types[new]}" for new in carried) + ", pred string, score bigint, margin bigint, words bigint, foreign bigint"
-    return lists.mapInArrow(_classify(model), schema)
+    return lists.mapInArrow(bw.tidied(_classify(model)), schema)
 
 
 def _accepted(min_margin: int) -> F.Column:

@@ -114,7 +114,7 @@ def _list_lengths(coords: int):
 def _hot_lists(reps: DataFrame, coords: int) -> tuple[np.ndarray, np.ndarray]:
     """The longest lists: (pairs, class of their length). Only the order of pairs depends on it."""
     lengths, path = materialise(
-        reps.select("sig").mapInArrow(_list_lengths(coords), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT).select("token", F.floor(F.log2("n")).cast("int").alias("level")),
+        reps.select("sig").mapInArrow(bw.tidied(_list_lengths(coords)), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT).select("token", F.floor(F.log2("n")).cast("int").alias("level")),
         "lists",
     )
     by_level = sorted(((r["level"], r["count"]) for r in lengths.groupBy("level").count().collect()), reverse=True)
@@ -335,22 +335,22 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, coords: int, matches: i
     """(links of class representatives, (id, rep, copies) of all signed documents, written tables to be deleted)."""
     bw.bound_batches(docs.sparkSession)
     texts = _one_text_each(docs, id_col, text_col).select("id", F.lower("text").alias("text"))
-    signed, p0 = materialise(texts.mapInArrow(_signatures(coords, shingle), "id bigint, sig binary").select("id", "sig", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")), "signatures")
+    signed, p0 = materialise(texts.mapInArrow(bw.tidied(_signatures(coords, shingle)), "id bigint, sig binary").select("id", "sig", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")), "signatures")
     keys = signed.select("id", "h1", "h2")  # 128 bits stand for a signature
     classes = keys.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members, p1 = materialise(keys.join(classes, ["h1", "h2"]).select("id", "rep", "copies"), "classes")
     reps, p2 = materialise(signed.select("id", "sig").join(members.filter("id = rep").select("id", "copies"), "id"), "representatives")
     hot = _hot_lists(reps, coords)
-    posted = reps.select("id", "sig").mapInArrow(_post(coords, matches, hot), "token bigint, id bigint")
+    posted = reps.select("id", "sig").mapInArrow(bw.tidied(_post(coords, matches, hot)), "token bigint, id bigint")
     lengths = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = posted.join(lengths, "token")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("bigint")).cast("int")
     units = shared.select("token", "id", blocks.alias("blocks"), own.alias("own")).select("token", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "blocks")
     units = units.select("token", "id", (F.least("own", "with").cast("bigint") * F.col("blocks") + F.greatest("own", "with")).alias("unit"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
-    signatures = reps.mapInArrow(_with_mask(coords, matches, hot), "id bigint, sig binary, mask bigint, copies bigint")
+    signatures = reps.mapInArrow(bw.tidied(_with_mask(coords, matches, hot)), "id bigint, sig binary, mask bigint, copies bigint")
     lists = units.join(signatures.hint("merge"), "id").select("token", "unit", "side", "id", "sig", "mask", "copies")
-    links = lists.repartition(F.col("token"), F.col("unit")).sortWithinPartitions("token", "unit").mapInArrow(_merge_lists(coords, matches, pairs), "id bigint, label bigint, links bigint")
+    links = lists.repartition(F.col("token"), F.col("unit")).sortWithinPartitions("token", "unit").mapInArrow(bw.tidied(_merge_lists(coords, matches, pairs)), "id bigint, label bigint, links bigint")
     return links, members, [p0, p1, p2]
 
 

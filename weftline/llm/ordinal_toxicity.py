@@ -12,7 +12,9 @@ label is at least ``LEAST_Z`` standard errors from 0; others only let a fit lear
 Nulls and corner cases. A null or empty text has no features: its severity is that of the thresholds alone.
 Rows with a null label, or whose identifier is null, teach nothing; of several labels of a document the
 highest counts. Without a toxic label, all severities are 0. Identifiers that repeat are scored row by row.
-An empty table gives an empty result. Other columns are not looked at.
+Ties: a text half-way
+between grades gets the higher one. Identifiers are whole numbers (others are an error of the cast). An empty table gives an
+empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import col
+
 from . import bytewords as bw
 from .sampling import least_by_md5
 
@@ -61,6 +65,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def likelihood(params: np.ndarray, row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES) -> tuple[float, np.ndarray]:
+    """(mean negative log likelihood with the ridge, its gradient). Parameters: weights, the first threshold, logs of the gaps."""
+    n = len(grade)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    filled = np.flatnonzero(np.diff(ends))
+    w, gaps = params[:n_features], np.exp(params[n_features + 1 :])
+    theta = params[n_features] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.zeros(n)
+    score[filled] = np.add.reduceat(w[feature], ends[filled]) if len(filled) else 0
+    upper = np.concatenate([theta, [np.inf]])[grade] - score
+    lower = np.concatenate([[-np.inf], theta])[grade] - score
+    fu, fl = _sigmoid(upper), _sigmoid(lower)
+    p = np.maximum(fu - fl, 1e-12)
+    du, dl = fu * (1 - fu) / p, fl * (1 - fl) / p
+    g_theta = np.array([dl[grade == j + 1].sum() - du[grade == j].sum() for j in range(grades - 1)]) / n
+    g_score = (du - dl) / n
+    grad = np.empty_like(params)
+    grad[:n_features] = np.bincount(feature, weights=g_score[row], minlength=n_features) + L2 * w
+    grad[n_features] = g_theta.sum()
+    grad[n_features + 1 :] = gaps * np.cumsum(g_theta[::-1])[::-1][1:]
+    return float(-np.log(p).mean() + 0.5 * L2 * (w @ w)), grad
+
+
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES, rounds: int = ROUNDS) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam on all rows. (row, feature) are the ones of a sparse matrix."""
     n = len(grade)
@@ -69,25 +96,8 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_featu
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades - 1))
     params = np.concatenate([np.zeros(n_features), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    ends = np.searchsorted(row, np.arange(n + 1))
-    filled = np.flatnonzero(np.diff(ends))
     for step in range(1, rounds + 1):
-        w = params[:n_features]
-        gaps = np.exp(params[n_features + 1 :])
-        theta = params[n_features] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.zeros(n)
-        score[filled] = np.add.reduceat(w[feature], ends[filled]) if len(filled) else 0
-        upper = np.concatenate([theta, [np.inf]])[grade] - score
-        lower = np.concatenate([[-np.inf], theta])[grade] - score
-        fu, fl = _sigmoid(upper), _sigmoid(lower)
-        p = np.maximum(fu - fl, 1e-12)
-        du, dl = fu * (1 - fu) / p, fl * (1 - fl) / p
-        g_theta = np.array([dl[grade == j + 1].sum() - du[grade == j].sum() for j in range(grades - 1)]) / n
-        g_score = (du - dl) / n
-        grad = np.empty_like(params)
-        grad[:n_features] = np.bincount(feature, weights=g_score[row], minlength=n_features) + L2 * w
-        grad[n_features] = g_theta.sum()
-        grad[n_features + 1 :] = gaps * np.cumsum(g_theta[::-1])[::-1][1:]
+        _, grad = likelihood(params, row, feature, grade, n_features, grades)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -115,10 +125,10 @@ def _telling(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> OrdinalModel | None:
     """Fit on a bounded sample of labelled documents; None if no label says toxic."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = F.broadcast(least_by_md5(known, train_docs))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).join(chosen, "id")
-    table = texts.select("id", "text", F.col("label").cast("int")).mapInArrow(_listed, "label int, features array<int>, times array<int>").toArrow().combine_chunks()
+    texts = docs.filter(col(text_col).isNotNull()).select(col(id_col).alias("id"), F.lower(col(text_col)).alias("text")).join(chosen, "id")
+    table = texts.select("id", "text", F.col("label").cast("int")).mapInArrow(bw.tidied(_listed), "label int, features array<int>, times array<int>").toArrow().combine_chunks()
     toxic = (table["label"].to_numpy() > 0).astype(np.int64)
     if not toxic.any():
         return None
@@ -157,5 +167,5 @@ def severity(docs: DataFrame, labels: DataFrame, model: OrdinalModel | None = No
     """(doc_id, expected_severity, p_toxic, grade, is_toxic) for every row; ``grade`` is the median grade."""
     bw.bound_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(_score(model), "id bigint, severity double, p double, grade int, toxic boolean").toDF("doc_id", "expected_severity", "p_toxic", "grade", "is_toxic")
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), F.lower(col(text_col)).alias("text"))
+    return rows.mapInArrow(bw.tidied(_score(model)), "id bigint, severity double, p double, grade int, toxic boolean").toDF("doc_id", "expected_severity", "p_toxic", "grade", "is_toxic")

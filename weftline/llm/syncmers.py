@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import col
+
 from . import bytewords as bw
 
 K, S = 12, 4
@@ -56,8 +58,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 0 < s < k or k <= 4:
         raise ValueError("k must be over 4 and s from 1 to k - 1")
     bw.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(_sketch(k, s), f"id {dict(rows.dtypes)['id']}, n bigint, positions array<int>, anchors array<bigint>").toDF("doc_id", "n_words", "positions", "anchors")
+    rows = docs.select(col(id_col).alias("id"), F.lower(col(text_col)).alias("text"))
+    return rows.mapInArrow(bw.tidied(_sketch(k, s)), f"id {dict(rows.dtypes)['id']}, n bigint, positions array<int>, anchors array<bigint>").toDF("doc_id", "n_words", "positions", "anchors")
 
 
 def positional_matches(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
