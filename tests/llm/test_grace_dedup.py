@@ -14,9 +14,8 @@ def test_matches_sql(spark):
     assert got == want and got
 
 
-@pytest.mark.parametrize("budget", [1, 500, 1 << 20])
-@pytest.mark.parametrize("broadcast_keys", [0, 1000])
-def test_is_brute_force_however_often_it_spills(make, budget, broadcast_keys):
+@pytest.mark.parametrize(("budget", "broadcast_keys", "hot"), [(1, 0, 1000), (500, 1000, 1000), (1 << 20, 1000, 15), (500, 0, 3)])
+def test_is_brute_force_however_often_it_spills(make, budget, broadcast_keys, hot):
     rng = random.Random(3)
     rows = [(i, rng.choice(["x", "", "y" * 300, f"z{rng.randint(0, 40)}", None])) for i in range(400)]
     first = {}
@@ -25,9 +24,9 @@ def test_is_brute_force_however_often_it_spills(make, budget, broadcast_keys):
             first.setdefault(t, i)
     want = sorted((i, i if t is None else first[t], t is not None and first[t] != i) for i, t in rows)
     docs = make(rows).repartition(5)
-    got = exact_groups(docs, budget=budget, broadcast_keys=broadcast_keys)
+    got = exact_groups(docs, budget=budget, broadcast_keys=broadcast_keys, hot_copies=hot)
     assert sorted(tuple(r) for r in got.collect()) == want
-    kept = drop_exact_duplicates(docs, budget=budget, broadcast_keys=broadcast_keys)
+    kept = drop_exact_duplicates(docs, budget=budget, broadcast_keys=broadcast_keys, hot_copies=hot)
     assert kept.dtypes == docs.dtypes
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, k, dup in want if not dup]
 
@@ -48,4 +47,6 @@ def test_edges(edges, nothing):
     assert sorted(dup, key=repr) == sorted([2, 7, 8, None], key=repr)
     kept = drop_exact_duplicates(edges)
     assert kept.columns == edges.columns and kept.count() == edges.count() - 4
+    assert sorted(map(tuple, exact_groups(edges, hot_copies=2).collect()), key=repr) == sorted(map(tuple, told), key=repr)
+    assert drop_exact_duplicates(edges, hot_copies=2).count() == edges.count() - 4
     assert exact_groups(nothing).count() == 0 and drop_exact_duplicates(nothing).count() == 0

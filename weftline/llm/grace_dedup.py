@@ -3,17 +3,20 @@
 1. A pass over 64-bit content hashes finds those that occur more than once. Where their list is small
    (``BROADCAST_KEYS``, counted first) it is broadcast and only records with such a hash are moved;
    otherwise all records are. Either way the result is the same.
-2. The moved records are partitioned by their hash, in the order of their identifiers.
+2. The moved records are partitioned by their hash, in the order of their identifiers. Hashes of ``hot_copies`` records or
+   more are first partitioned by hash and salt, and one record of each content in each part goes on.
 3. In each partition complete contents are entered into an open-addressing table. Once the table holds
    ``budget`` bytes it takes no new contents: records that it doesn't hold go to one of 16 spill files by
    further bits of the hash, and each file is treated in the same way, recursively, until all fit. Every
    level takes some contents, so the recursion ends even if all hashes are equal. Spill files lie in the
-   shared folder and are deleted once read; a task that is run again writes its own.
+   shared folder (of a kind that Arrow's file systems can write: file, hdfs, s3, gs) and are deleted once read; a task that is
+   run again writes its own.
 
 Nulls and corner cases. A null text has no content: such rows are kept and are duplicates of nothing. Empty
 texts are contents like any other. Of rows with equal content the one with the least identifier is kept
 (nulls last; among rows that repeat an identifier too, one row). Texts of any length are compared whole.
-An empty table gives an empty result. Columns beside the identifier and the text are carried and not compared.
+Identifiers are whole numbers; ``drop_exact_duplicates`` takes any that have an order. An empty
+table gives an empty result. Columns beside the identifier and the text are carried, whatever their names, and not compared.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.storage import fresh, materialise, shared_dir
+from weftline.storage import col, fresh, materialise, shared_dir
 
 from . import bytewords as bw
 
 BROADCAST_KEYS = 500_000
 BUDGET = 64 << 20
+HOT_COPIES = 20_000
 FAN_OUT = 16
 
 
@@ -84,7 +88,7 @@ def _grace(spill_to: str, budget: int, keep_rows: bool):
     def level(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
         table, kept_ids, full = ContentTable(budget), [], False
         files: dict[int, tuple[str, object, object]] = {}
-        store, root = fs.FileSystem.from_uri(spill_to)
+        store, root = None, ""  # opened when the first record is spilled
         try:
             for batch in batches:
                 hashes, contents, ids = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
@@ -104,13 +108,15 @@ def _grace(spill_to: str, budget: int, keep_rows: bool):
                 else:
                     at = np.flatnonzero(here)
                     keeps = pa.array([kept_ids[n] for n in found[at].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(pa.int64()), keeps, pa.array(~new[at])], ["id", "keep_id", "dup"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(pa.int64()), keeps, pa.array(~new[at]), pa.array(hashes[at])], ["id", "keep_id", "dup", "h"])
                 if not here.all():
                     child = np.where(here, -1, child_of(hashes, depth))
                     for c in np.unique(child[~here]).tolist():
+                        if store is None:
+                            store, root = fs.FileSystem.from_uri(spill_to)
+                            store.create_dir(root, recursive=True)
                         if c not in files:
                             path = f"{root}/grace-{uuid.uuid4().hex}"
-                            store.create_dir(root, recursive=True)
                             stream = store.open_output_stream(path)
                             files[c] = (path, stream, pa.ipc.new_stream(stream, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")))
                         files[c][2].write_batch(batch.take(pa.array(np.flatnonzero(child == c))))
@@ -134,43 +140,58 @@ def _grace(spill_to: str, budget: int, keep_rows: bool):
     return lambda batches: level(batches, 0)
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, broadcast_keys: int):
-    """(docs with their hash, its name, hashes that repeat; None instead of these if they are too many to broadcast)."""
-    (h,) = fresh(docs, "content_hash")
-    hashed = docs.withColumn(h, F.xxhash64(F.col(text_col)))
-    repeated, _ = materialise(hashed.filter(F.col(text_col).isNotNull()).groupBy(h).count().filter("count > 1").select(h), "repeated")
-    return hashed, h, F.broadcast(repeated) if repeated.count() <= broadcast_keys else None
+def _split(docs: DataFrame, id_col: str, text_col: str, broadcast_keys: int, hot_copies: int):
+    """(name of the hash, rows that need not move, rows that move, rows of hot hashes with a column salt or None)."""
+    h, n, salt = fresh(docs, "content_hash", "copies", "salt")
+    hashed = docs.withColumn(h, F.xxhash64(col(text_col)))
+    repeated, _ = materialise(hashed.filter(col(text_col).isNotNull()).groupBy(h).agg(F.count("*").alias(n)).filter(F.col(n) > 1), "repeated")
+    total, most = repeated.agg(F.count("*"), F.max(n)).first()
+    alone, moved = hashed.filter(col(text_col).isNull()), hashed.filter(col(text_col).isNotNull())
+    if total <= broadcast_keys:  # 16 bytes each
+        alone = alone.unionByName(moved.join(F.broadcast(repeated.select(h)), h, "left_anti"))
+        moved = moved.join(F.broadcast(repeated.select(h)), h, "left_semi")
+    hot = None
+    if (most or 0) >= hot_copies:
+        few = repeated.filter(F.col(n) >= hot_copies)
+        hot = moved.join(few, h).withColumn(salt, F.pmod(F.xxhash64(col(id_col)), F.ceil(F.col(n) / hot_copies))).drop(n)
+        moved = moved.join(few, h, "left_anti")
+    return h, alone, moved, hot, salt
 
 
-def _partitioned(moved: DataFrame, h: str, id_col: str, text_col: str, others: list[str]) -> DataFrame:
-    return moved.select(F.col(h), F.col(text_col).cast("binary").alias("content"), F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).repartition(F.col(h)).sortWithinPartitions(F.col("id").asc_nulls_last())
+def _partitioned(moved: DataFrame, keys: list[str], id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    return moved.select(F.col(keys[0]), col(text_col).cast("binary").alias("content"), col(id_col).alias("id"), *[col(c).alias(f"c{i}") for i, c in enumerate(others)], *[F.col(k).alias("salt") for k in keys[1:]]).repartition(F.col(keys[0]), *[F.col("salt") for _ in keys[1:]]).sortWithinPartitions(F.col("id").asc_nulls_last()).drop("salt")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS, hot_copies: int = HOT_COPIES) -> DataFrame:
     """(doc_id, keep_id, is_duplicate) for every row: the row kept of those with its content, and whether this is another."""
     bw.bound_batches(docs.sparkSession)
-    hashed, h, keys = _split(docs, id_col, text_col, broadcast_keys)
-    alone = hashed.filter(F.col(text_col).isNull())
-    moved = hashed.filter(F.col(text_col).isNotNull())
-    if keys is not None:
-        alone = alone.unionByName(moved.join(keys, h, "left_anti"))
-        moved = moved.join(keys, h, "left_semi")
-    told = _partitioned(moved, h, id_col, text_col, []).mapInArrow(_grace(shared_dir(docs.sparkSession), budget, False), "id bigint, keep_id bigint, dup boolean")
-    whole = alone.select(F.col(id_col).cast("bigint").alias("id"), F.col(id_col).cast("bigint").alias("keep_id"), F.lit(False).alias("dup")).unionByName(told)
+    spill, schema = shared_dir(docs.sparkSession), "id bigint, keep_id bigint, dup boolean, h bigint"
+    h, alone, moved, hot, salt = _split(docs, id_col, text_col, broadcast_keys, hot_copies)
+    own = col(id_col).cast("bigint")
+    whole = alone.select(own.alias("id"), own.alias("keep_id"), F.lit(False).alias("dup"))
+    told = _partitioned(moved, [h], id_col, text_col, []).mapInArrow(bw.tidied(_grace(spill, budget, False)), schema)
+    whole = whole.unionByName(told.drop("h"))
+    if hot is not None:
+        parted = _partitioned(hot, [h, salt], id_col, text_col, [])
+        local, _ = materialise(parted.mapInArrow(bw.tidied(_grace(spill, budget, False)), schema), "hot-rows")
+        firsts = _partitioned(hot, [h, salt], id_col, text_col, [id_col, text_col]).mapInArrow(bw.tidied(_grace(spill, budget, True)), f"c0 {dict(hot.dtypes)[id_col]}, c1 string")
+        again = firsts.withColumn("h", F.xxhash64("c1"))
+        best = _partitioned(again, ["h"], "c0", "c1", []).mapInArrow(bw.tidied(_grace(spill, budget, False)), schema).select(F.col("h").alias("fh"), F.col("id").alias("fid"), F.col("keep_id").alias("best"), F.col("dup").alias("later"))
+        joined = local.join(best, (F.col("h") == F.col("fh")) & F.col("keep_id").eqNullSafe(F.col("fid")))
+        whole = whole.unionByName(joined.select("id", F.col("best").alias("keep_id"), (F.col("dup") | F.col("later")).alias("dup")))
     return whole.select(F.col("id").alias("doc_id"), "keep_id", F.col("dup").alias("is_duplicate"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, broadcast_keys: int = BROADCAST_KEYS, hot_copies: int = HOT_COPIES) -> DataFrame:
     """``docs`` with one row of each content; its columns as they are."""
     bw.bound_batches(docs.sparkSession)
-    hashed, h, keys = _split(docs, id_col, text_col, broadcast_keys)
-    alone = hashed.filter(F.col(text_col).isNull())
-    moved = hashed.filter(F.col(text_col).isNotNull())
-    if keys is not None:
-        alone = alone.unionByName(moved.join(keys, h, "left_anti"))
-        moved = moved.join(keys, h, "left_semi")
+    spill = shared_dir(docs.sparkSession)
+    h, alone, moved, hot, salt = _split(docs, id_col, text_col, broadcast_keys, hot_copies)
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
-    kept = _partitioned(moved, h, id_col, text_col, docs.columns).mapInArrow(_grace(shared_dir(docs.sparkSession), budget, True), schema)
+    if hot is not None:
+        firsts = _partitioned(hot, [h, salt], id_col, text_col, docs.columns).mapInArrow(bw.tidied(_grace(spill, budget, True)), schema)
+        moved = moved.unionByName(firsts.toDF(*docs.columns).withColumn(h, F.xxhash64(col(text_col))))
+    kept = _partitioned(moved, [h], id_col, text_col, docs.columns).mapInArrow(bw.tidied(_grace(spill, budget, True)), schema)
     return alone.drop(h).union(kept.toDF(*docs.columns))
 
 
