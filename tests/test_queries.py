@@ -8,6 +8,7 @@ import pytest
 from oracle import MIDDLE, SMALL
 
 from weftline.plans import records, registry, retrieval, surfaces  # noqa: F401
+from weftline.operators import ann, vectors
 from weftline.operators.collaboration import apply_edit
 from weftline.streaming.stateful import anchored_window, gap_limit
 
@@ -90,3 +91,14 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).columns == ["doc_id", "score", "matching_terms"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("sf", [MIDDLE, "/root/testdata/sf0.1"])
+def test_recall_of_the_approximate_index(spark, sf):
+    """Every vector is in it, and nine in ten of the true neighbours are found."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert ann.build(rows).blocks.selectExpr("explode(ids) AS id").distinct().count() == rows.count()
+    true = {(r["src"], r["dst"]) for r in vectors.neighbour_graph(rows, 10, queries=rows.filter("vec_id % 50 = 0")).collect()}
+    found = {(r["src"], r["dst"]) for r in registry.QUERIES["ann_neighbours"](spark, sf).collect()}
+    assert len(found & true) >= 0.9 * len(true) > 50
+    assert ann.search(ann.build(rows.limit(0)), rows.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import clocks, vectors as vx
 from weftline.functions import text as tx
-from weftline.operators import collaboration, conversations, graph, graph_build, limits, monitoring, temporal, vectors
+from weftline.operators import ann, collaboration, conversations, graph, graph_build, limits, monitoring, temporal, vectors
 from weftline.plans.primitives import Engine
 from weftline.sources import graphs, tables
 from weftline.sources.conversations import read_conversations
@@ -449,3 +449,10 @@ def relative_times(spark, d):
 @query(f"WITH {_OPS} SELECT seq, '{{\"type\":\"agent_activity\",\"agent_id\":\"' || agent_id || '\",\"op\":\"' || op || '\"}}' AS message FROM ops")
 def activity_messages(spark, d):
     return _ops(spark, d).select("seq", tx.message("agent_activity", F.col("agent_id"), F.col("op")).alias("message"))
+
+
+@query()
+def ann_neighbours(spark, d):
+    """The approximate index, every 50th vector against all; tests measure its recall."""
+    rows = table(spark, d, "embeddings")
+    return ann.search(ann.build(rows), rows.filter("vec_id % 50 = 0"), 10)
