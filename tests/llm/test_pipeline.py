@@ -1,14 +1,18 @@
 """The pipeline against a version of each stage by brute force."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 from test_fingerprint_lsm import brute as brute_repeats
 from test_packing import check
 
 import corpus_pipeline
+from weftline.llm import byte_bpe
 from weftline.llm import minhash_join as mj
 from weftline.llm.language_id import identify
 
@@ -70,11 +74,36 @@ def test_is_the_stages_by_brute_force(spark, folder):
     cut = brute_repeats([(i, texts[i]) for i in alone])
     left = {i: " ".join(w for j, w in enumerate(texts[i].split()) if j not in cut[i]) for i in alone}
     assert sum(map(bool, cut.values())) >= 5
-    rows = corpus_pipeline.run(spark, folder).collect()
-    check(rows, [(i, t) for i, t in left.items() if t], 2048)
+    found = corpus_pipeline.run(spark, folder)
+    rows = found.selectExpr("pack_id", "inline(pieces)").collect()
+    v = byte_bpe.Vocabulary()
+    tokenizer = tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=dict(zip(v.tokens, v.ids.tolist())), special_tokens={})
+    check(rows, [(i, cut_text(texts[i], cut[i])) for i, t in left.items() if t], 2048, lambda t: len(tokenizer.encode_ordinary(t)))
     assert {r["doc_id"] for r in rows} == {i for i, t in left.items() if t}
 
 
+def cut_text(text, gone):
+    """The text without the words at these places, as the stage leaves it."""
+    out, at = [], 0
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    for j, run in itertools.groupby(range(len(spans)), lambda k: k in gone):
+        places = list(run)
+        if j:
+            out.append(text[at : spans[places[0]][0]])
+            at = spans[places[-1]][1]
+    return "".join([*out, text[at:]]).strip()
+
+
+def test_stages_take_awkward_rows(spark, edges, nothing):
+    """Each stage on what the one before left of null, empty and very long texts, repeated identifiers and clashing columns."""
+    docs = edges
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.dtypes == edges.dtypes
+    packs = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert {d for r in packs.collect() for d in r["doc_ids"]} == {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in edges.collect()}
+
+
 def test_stages_keep_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
