@@ -147,3 +147,46 @@ def test_edges(edges, nothing):
 def test_query_is_brute_force(spark):
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert marked(queries.op7_substring_dedup(spark, SMALL).collect()) == {i: m for i, m in brute(docs).items() if m}
+
+
+def test_the_query_compacts(spark, monkeypatch):
+    """As registered, later batches are matched with a compacted run, and no earlier document's runs are hashed once more."""
+    compacted, compact = [], FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self, kind: (compacted.append((kind, self.last)), compact(self, kind))[1])
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    found = queries.op7_substring_dedup(spark, SMALL).collect()
+    assert {kind for kind, _ in compacted} == {"anchors", "whole"} and max(last for _, last in compacted) < max(i for i, _ in docs)
+    assert marked(found) == {i: m for i, m in brute(docs).items() if m}
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 9])
+def test_holders_in_every_order_of_batches(spark, tmp_path, fan_in):
+    """First holders that are alone, joined in their own batch, joined later, and joined once more after compactions."""
+    rng = random.Random(fan_in)
+    passages = [[f"p{k}-{j}" for j in range(rng.choice((45, 50, 58)))] for k in range(40)]
+    rows = []
+    for i in range(120):
+        words = []
+        for p in rng.sample(passages, 2):
+            words += [f"o{i}-{rng.randrange(10**6)}" for _ in range(rng.randint(0, 20))] + p[: rng.choice((45, 50, 58))]
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    got, index = {}, FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=fan_in)
+    for low in range(0, 120, 20):
+        for r in index.add(texts.filter(f"id >= {low} AND id < {low + 20}"), texts.filter(f"id < {low + 20}"))[0].collect():
+            got.setdefault(r["id"], set()).update(range(r["start_word"], r["end_word"]))
+    index.close()
+    assert got == {i: m for i, m in brute(rows).items() if m}
+
+
+def test_compaction_keeps_a_row_a_hash(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    texts = spark.range(600).selectExpr("id", f"concat('a', id, ' {passage} z', id) AS text")
+    index = FingerprintIndex(spark, fan_in=3)
+    for low in (0, 200, 400):
+        index.add(texts.filter(f"id >= {low} AND id < {low + 200}"), texts.filter(f"id < {low + 200}"))
+    for runs in index.runs.values():
+        assert len(runs) == 1
+        table = spark.table(runs[0][0])
+        assert table.count() == table.select("h").distinct().count()
+    index.close()

@@ -8,8 +8,8 @@ identifier) is a repeat. Documents come in batches of growing identifiers:
    stands. Of each hash the first holder goes into a sorted, bucketed, immutable run (an aggregate with a map-side part).
 2. The run is merge-joined with each run of the history (both sides are bucketed and sorted alike: no
    exchange, no sort), which tells which hashes documents share, and with whom first.
-3. Of documents that share hashes, all runs of ``min_words`` words around a shared hash are hashed whole, and
-   each is matched with its own first occurrence, by a second set of such runs in the index. Matches on the same diagonal,
+3. Of documents that share hashes, all runs of ``min_words`` words around a shared hash are hashed whole, those of an
+   earlier document once, when a second one comes; each is matched with its own first occurrence, by a second set of such runs in the index. Matches on the same diagonal,
    i.e. at the same distance between their places in both documents, become one candidate segment.
 4. Candidates are verified word by word against the text of the document that they name; only common runs of at least
    ``min_words`` words stay.
@@ -46,7 +46,8 @@ from weftline.storage import col, drop_path, fresh, materialise, new_path, read_
 
 from . import bytewords as bw
 
-MIN_WORDS, WINDOW, BATCHES, FAN_IN = 50, 40, 2, 3
+#: More batches than ``FAN_IN``: the last ones are matched with a compacted run.
+MIN_WORDS, WINDOW, BATCHES, FAN_IN = 50, 40, 4, 3
 #: Words of a block of an earlier document's text that moves to those who repeat it.
 BLOCK_WORDS = 64
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -133,7 +134,7 @@ class FingerprintIndex:
     With a ``path`` in the shared folder the index stays there and is opened again under it.
     """
 
-    SCHEMAS = {"anchors": "h BIGINT, id BIGINT, several BOOLEAN", "whole": "h BIGINT, id BIGINT, pos INT"}
+    SCHEMAS = {"anchors": "h BIGINT, id BIGINT, hashed BOOLEAN", "whole": "h BIGINT, id BIGINT, pos INT"}
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, min_words: int = MIN_WORDS, fan_in: int = FAN_IN):
         if not 4 < window <= min_words:
@@ -152,7 +153,7 @@ class FingerprintIndex:
 
     def _opened(self, kind: str, path: str) -> str:
         name = f"weftline_run_{uuid.uuid4().hex}"
-        keys = self.SCHEMAS[kind].replace(" BIGINT", "").replace(" INT", "").replace(", several BOOLEAN", "")
+        keys = self.SCHEMAS[kind].replace(" BIGINT", "").replace(" INT", "").replace(", hashed BOOLEAN", "")
         self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMAS[kind]}) USING parquet CLUSTERED BY (h) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return name
 
@@ -189,15 +190,18 @@ class FingerprintIndex:
 
         try:
             postings = kept(batch.mapInArrow(bw.tidied(_anchors(self.window, self.min_words)), "h bigint, id bigint"), "postings")
-            anchors = self._write("anchors", postings.groupBy("h").agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("several")))
+            anchors = self._write("anchors", postings.groupBy("h").agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("hashed")))
             fresh_runs.append(anchors)
             with _sorted_buckets(self.spark):
                 seen = self.spark.table(anchors[0])
                 for n, old in enumerate(self.runs["anchors"]):
-                    seen = seen.join(self.spark.table(old[0]).select("h", F.col("id").alias(f"o{n}")).hint("merge"), "h", "left")
+                    seen = seen.join(self.spark.table(old[0]).select("h", F.col("id").alias(f"o{n}"), F.col("hashed").alias(f"hashed{n}")).hint("merge"), "h", "left")
                 before = [F.col(f"o{n}") for n in range(len(self.runs["anchors"]))]
-                shared = kept(seen.filter(F.coalesce(*before, F.lit(None)).isNotNull() | F.col("several")).select("h", F.coalesce(*before, F.col("id")).alias("first")), "shared")
-            asked = postings.join(shared.select("h"), "h", "left_semi").unionByName(shared.select("h", F.col("first").alias("id")))
+                # the index has the first holder's whole runs since its second holder came
+                holders = sum((c.isNotNull().cast("int") for c in before), F.lit(0))
+                known = F.coalesce(*[F.when(F.col(f"hashed{n}"), True) for n in range(len(before))], holders > 1)
+                shared = kept(seen.filter((holders > 0) | F.col("hashed")).select("h", F.coalesce(*before, F.col("id")).alias("first"), known.alias("known")), "shared")
+            asked = postings.join(shared.select("h"), "h", "left_semi").unionByName(shared.filter("NOT known").select("h", F.col("first").alias("id")))
             lists = asked.groupBy("id").agg(F.collect_set("h").alias("hashes"))
             involved = texts.join(lists, "id").select("id", "text", "hashes")
             runs = kept(involved.mapInArrow(bw.tidied(_whole(self.window, self.min_words)), "h bigint, id bigint, pos int, n int"), "whole")
@@ -226,16 +230,25 @@ class FingerprintIndex:
         return found
 
     def compact(self, kind: str) -> None:
-        """Merge all runs of a kind into one that keeps each hash's first occurrence."""
+        """Merge all runs of a kind into one that keeps each hash's first occurrence.
+
+        By merge joins: an aggregate of a union of bucketed tables may be planned without the exchange that it needs, and
+        then keeps a row a run.
+        """
         old = self.runs[kind]
-        together = self.spark.table(old[0][0])
-        for run in old[1:]:
-            together = together.unionByName(self.spark.table(run[0]))
-        if kind == "anchors":
-            merged = together.groupBy("h").agg(F.min("id").alias("id"), F.lit(True).alias("several"))
-        else:
-            merged = together.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("o")).select("h", "o.id", "o.pos")
-        self.runs[kind] = [self._write(kind, merged)]
+        value = F.struct("id", "hashed") if kind == "anchors" else F.struct("id", "pos")
+        with _sorted_buckets(self.spark):
+            merged = self.spark.table(old[0][0]).select("h", value.alias("o0"))
+            for n, run in enumerate(old[1:], 1):
+                merged = merged.join(self.spark.table(run[0]).select("h", value.alias(f"o{n}")).hint("merge"), "h", "full")
+            each = F.array_compact(F.array(*[f"o{n}" for n in range(len(old))]))
+            if kind == "anchors":
+                hashed = F.exists(each, lambda o: F.coalesce(o["hashed"], F.lit(False))) | (F.size(each) > 1)
+                merged = merged.select("h", F.array_min(each)["id"].alias("id"), hashed.alias("hashed"))
+            else:
+                merged = merged.select("h", F.array_min(each).alias("o")).select("h", "o.id", "o.pos")
+            new = self._write(kind, merged)
+        self.runs[kind] = [new]
         self._save()
         self._drop(*old)
 
