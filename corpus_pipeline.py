@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import fingerprint_lsm, grace_dedup, language_id, minhash_join, packing
-from weftline.storage import drop_path, materialise
+from weftline.storage import drop_path, materialise, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; a stage's table is deleted when the next one has been written."""
+    """All stages over ``documents``; a stage's table is deleted when the next one has been written, and what it wrote besides at its end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs, path = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs, path = materialise(stage(spark, docs, sf_dir), name)
+            made.remove(path)
         if before:
             drop_path(spark, before)
         before = path

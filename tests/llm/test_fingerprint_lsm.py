@@ -135,6 +135,20 @@ def test_cut(make):
     assert texts == {1: (f"one {passage} tail", len(passage) + 9), 2: ("two  rest", 9), 4: ("short text", 10), 5: (None, None), 6: ("", 0)}
 
 
+def test_cutting_moves_no_document_again(spark, make):
+    """Where lists of cuts are too large to broadcast, they move to the documents, and rows of one identifier and of none stay."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = cut_repeats(make([(1, f"a {passage}"), (2, f"b {passage}"), (2, f"c {passage}"), (None, f"d {passage}"), (None, None)]))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not [x for x in plan.split("\n") if "Exchange" in x and "xxhash64" in x]
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, f"d {passage}"), (1, f"a {passage}"), (2, "b"), (2, f"c {passage}")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_edges(edges, nothing):
     found = repeated_spans(edges).collect()
     assert {(r["doc_id"], r["first_doc_id"]) for r in found} == {(7, 6)}

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.storage import col, drop_path, fresh, materialise, new_path, read_text, write_text
+from weftline.storage import col, drop_path, materialise, new_path, read_text, write_text
 
 from . import bytewords as bw
 
@@ -181,6 +181,7 @@ class FingerprintIndex:
         if self.last is not None and least is not None and least <= self.last:
             raise ValueError(f"identifiers of a batch must be greater than {self.last}")
         made: list[str] = []
+        names: list[str] = []
         fresh_runs: list[tuple[str, str]] = []
 
         def kept(df: DataFrame, label: str) -> DataFrame:
@@ -188,11 +189,18 @@ class FingerprintIndex:
             made.append(path)
             return table
 
+        def placed(df: DataFrame, *order: str) -> DataFrame:
+            """Rows in the buckets of the runs: they move once for all that is done by hash."""
+            table, name, path = bucketed(df, *order, n=self.buckets)
+            names.append(name)
+            made.append(path)
+            return table
+
         try:
-            postings = kept(batch.mapInArrow(bw.tidied(_anchors(self.window, self.min_words)), "h bigint, id bigint"), "postings")
-            anchors = self._write("anchors", postings.groupBy("h").agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("hashed")))
-            fresh_runs.append(anchors)
+            postings = placed(batch.mapInArrow(bw.tidied(_anchors(self.window, self.min_words)), "h bigint, id bigint"), "h", "id")
             with _sorted_buckets(self.spark):
+                anchors = self._write("anchors", postings.groupBy("h").agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("hashed")))
+                fresh_runs.append(anchors)
                 seen = self.spark.table(anchors[0])
                 for n, old in enumerate(self.runs["anchors"]):
                     seen = seen.join(self.spark.table(old[0]).select("h", F.col("id").alias(f"o{n}"), F.col("hashed").alias(f"hashed{n}")).hint("merge"), "h", "left")
@@ -204,21 +212,23 @@ class FingerprintIndex:
             asked = postings.join(shared.select("h"), "h", "left_semi").unionByName(shared.filter("NOT known").select("h", F.col("first").alias("id")))
             lists = asked.groupBy("id").agg(F.collect_set("h").alias("hashes"))
             involved = texts.join(lists, "id").select("id", "text", "hashes")
-            runs = kept(involved.mapInArrow(bw.tidied(_whole(self.window, self.min_words)), "h bigint, id bigint, pos int, n int"), "whole")
-            whole = self._write("whole", runs.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("o")).select("h", "o.id", "o.pos"))
-            fresh_runs.append(whole)
             with _sorted_buckets(self.spark):
+                runs = placed(involved.mapInArrow(bw.tidied(_whole(self.window, self.min_words)), "h bigint, id bigint, pos int, n int"), "h", "id", "pos")
+                whole = self._write("whole", runs.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("o")).select("h", "o.id", "o.pos"))
+                fresh_runs.append(whole)
                 seen = self.spark.table(whole[0]).select("h", F.struct("id", "pos").alias("own"))
                 for n, old in enumerate(self.runs["whole"]):
                     seen = seen.join(self.spark.table(old[0]).select("h", F.struct("id", "pos").alias(f"o{n}")).hint("merge"), "h", "left")
                 first = seen.select("h", F.array_min(F.array_compact(F.array("own", *[f"o{n}" for n in range(len(self.runs["whole"]))]))).alias("o"))
                 mine = runs.filter(F.col("id") >= least) if least is not None else runs
                 segments = kept(_segments(mine.join(first, "h").filter("o.id < id")), "segments")
-            found = materialise(verify(segments, texts, self.min_words), "repeats")
+                found = materialise(verify(segments, texts, self.min_words), "repeats")
         except BaseException:
             self._drop(*fresh_runs)
             raise
         finally:
+            for name in names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_path(self.spark, *made)
         self.runs["anchors"].append(anchors)
         self.runs["whole"].append(whole)
@@ -263,11 +273,11 @@ class FingerprintIndex:
         self.runs = {"anchors": [], "whole": []}
 
 
-def bucketed(rows: DataFrame) -> tuple[DataFrame, str, str]:
-    """Rows written in buckets by id, the table's name and path: joins by id move the other side alone."""
+def bucketed(rows: DataFrame, *order: str, n: int | None = None) -> tuple[DataFrame, str, str]:
+    """Rows written in sorted buckets by the first column of ``order``, the table's name and path: joins by it move the other side alone."""
     spark = rows.sparkSession
-    name, path, n = f"weftline_texts_{uuid.uuid4().hex}", new_path(spark, "texts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "id").write.bucketBy(n, "id").option("path", path).saveAsTable(name)
+    name, path, n = f"weftline_rows_{uuid.uuid4().hex}", new_path(spark, "buckets"), n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, order[0]).write.bucketBy(n, order[0]).sortBy(*order).option("path", path).saveAsTable(name)
     return spark.table(name), name, path
 
 
@@ -347,29 +357,37 @@ def verify(segments: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) ->
     return later.mapInArrow(bw.tidied(_verify(min_words)), "id bigint, text_hash bigint, first bigint, start_word bigint, end_word bigint, start_char bigint, end_char bigint")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_words: int = MIN_WORDS, window: int = WINDOW, fan_in: int = FAN_IN) -> DataFrame:
-    """All repeats, documents being added in ``batches`` batches of about equal size in the order of their identifiers."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_words: int = MIN_WORDS, window: int = WINDOW, fan_in: int = FAN_IN, placed: bool = False) -> DataFrame:
+    """All repeats, documents being added in ``batches`` batches of about equal size in the order of their identifiers.
+
+    ``placed``: ``docs`` is a table in buckets by its identifiers, which are whole numbers; it is read as it is.
+    """
     bw.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    number = col(id_col) if placed else col(id_col).cast("bigint")
+    texts = docs.select(number.alias("id"), col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     ids = texts.groupBy("id").count()
     low, high, most, inner = ids.agg(F.min("id"), F.max("id"), F.max("count"), F.percentile_approx("id", [(n + 1) / batches for n in range(batches - 1)] or [1.0])).first()
     if (most or 0) > 1:
+        placed = False
         often = ids.filter("count > 1").select("id")
         texts = texts.join(often, "id", "left_anti").unionByName(texts.join(often, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     if low is None:
         return spark.createDataFrame([], "id bigint, text_hash bigint, first bigint, start_word bigint, end_word bigint, start_char bigint, end_char bigint")
     cuts = sorted({*(inner if batches > 1 else []), high})
     index = FingerprintIndex(spark, None, window, min_words, fan_in)
-    texts, name, path = bucketed(texts)
+    name = path = None
+    if not placed:
+        texts, name, path = bucketed(texts, "id")
     parts = []
     try:
         for before, upto in zip([low - 1, *cuts], cuts):
             parts.append(index.add(texts.filter((F.col("id") > before) & (F.col("id") <= upto)), texts.filter(F.col("id") <= upto)))
     finally:
         index.close()
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop_path(spark, path)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(spark, path)
     found = parts[0][0]
     for part, _ in parts[1:]:
         found = found.unionByName(part)
@@ -406,17 +424,23 @@ def _cut(names: list[str], text: int, chars: int | None):
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options: int) -> DataFrame:
-    """``docs`` with repeats cut out of the later texts; a document of which nothing is left goes. Its columns as they are."""
+    """``docs`` with repeats cut out of the later texts; a document of which nothing is left goes. Its columns as they are.
+
+    Documents move once, into buckets by their identifiers, which the search and the result read. Those without an identifier don't move.
+    """
     bw.bound_batches(docs.sparkSession)
-    found = repeats(docs, id_col, text_col, **options)
-    key, h, spans = fresh(docs, "cut_id", "cut_hash", "cut_spans")
-    lists, _ = materialise(found.groupBy(F.col("id").alias(key), F.col("text_hash").alias(h)).agg(F.collect_set(F.struct("start_char", "end_char")).alias(spans)), "cuts")
-    on = (col(id_col).cast("bigint") == F.col(key)) & (F.xxhash64(col(text_col)) == F.col(h))
-    joined = docs.join(lists, on, "left")
-    untouched = joined.filter(F.col(spans).isNull()).select(*[col(c) for c in docs.columns])
-    touched = joined.filter(F.col(spans).isNotNull()).select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(spans).alias("spans"))
+    spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
-    after = touched.mapInArrow(bw.tidied(_cut(names, text, chars)), touched.drop("spans").schema).toDF(*docs.columns)
-    return untouched.unionByName(after)
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), *[col(c).alias(n) for c, n in zip(docs.columns, names)])
+    kept, name, _ = bucketed(rows.filter("id IS NOT NULL"), "id")
+    found = repeats(kept, "id", names[text], placed=True, **options)
+    lists, _ = materialise(found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start_char", "end_char")).alias("spans")), "cuts")
+    joined = kept.join(lists.hint("shuffle_hash"), "id", "left")  # whatever the size of the lists, no document moves
+    spark.sql(f"DROP TABLE {name}")  # its files stay: the result reads them
+    cut = F.coalesce(F.xxhash64(names[text]) == F.col("text_hash"), F.lit(False))
+    touched = joined.filter(cut).select(*names, "spans")
+    after = touched.mapInArrow(bw.tidied(_cut(names, text, chars)), touched.drop("spans").schema)
+    whole = joined.filter(~cut).select(*names).unionByName(rows.filter("id IS NULL").select(*names))
+    return whole.unionByName(after).toDF(*docs.columns)
