@@ -98,10 +98,10 @@ def _said(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("conversation_id"), F.col("o_orderkey").alias("turn"), F.when(F.col("o_orderkey") % 3 == 0, "assistant").otherwise("user").alias("kind"), text.alias("text"))
 
 
-def _entities(spark, d):
+def _entities(spark, d, *more):
     """Order lines as entities: an order is a conversation, a line a turn."""
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), kind.alias("entity_type"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_suppkey") % 8 < 4, "implement it").otherwise("look").alias("content"), F.col("l_linenumber").cast("bigint").alias("turn"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity_id"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), kind.alias("entity_type"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_suppkey") % 8 < 4, "implement it").otherwise("look").alias("content"), F.col("l_linenumber").cast("bigint").alias("turn"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity_id"), *more)
 
 
 _NEXT = """next AS (SELECT conversation_id, entity_id AS from_id, to_id, 'temporal_next' AS relationship_type, 1.0::DOUBLE AS strength, turn FROM (SELECT *, lead(entity_id) OVER w AS to_id, lead(turn) OVER w AS nt FROM found
@@ -163,7 +163,9 @@ def session_preview(spark, d):
 
 @query(f"WITH {_ENTITIES} SELECT name, entity_type, entity_id FROM found QUALIFY row_number() OVER (PARTITION BY name ORDER BY entity_id) = 1")
 def merge_entities(spark, d):
-    found, _ = conversations.merge_graphs(_entities(spark, d), _entities(spark, d), ["entity_id"])
+    """Of rows with equal identifiers the first in the table stays, as in DuckDB with one thread; its SQL leaves that open."""
+    rows = _entities(spark, d, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    found, _ = conversations.merge_graphs(rows, rows, ["entity_id", "file", "row"])
     return found.select("name", "entity_type", "entity_id")
 
 
