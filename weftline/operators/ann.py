@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.storage import new_path
 
-from .vectors import _best, _partners
+from .vectors import _best, _partners, bound_batches
 
 SAMPLE, ROUNDS, BLOCK, MOST_CELLS = 20_000, 8, 2048, 4096
 
@@ -89,6 +89,7 @@ def search(index: Cells, queries: DataFrame, k: int = 10, probes: int | None = N
     By default three quarters of the cells: what vectors without any clusters take for a recall of 0.9. Clustered ones take few.
     """
     probes = probes or max(1, -(-3 * len(index.centres) // 4))
+    bound_batches(queries.sparkSession)
     asked = _packed(_named(queries, id_col, vec_col).mapInArrow(_celled(index.centres, probes), "cell int, id bigint, v array<float>"), 8)
     a = asked.select("cell", F.col("ids").alias("a_ids"), F.col("rows").alias("a_rows"))
     b = index.blocks.select("cell", F.col("ids").alias("b_ids"), F.col("rows").alias("b_rows"))
